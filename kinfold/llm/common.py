@@ -81,7 +81,7 @@ def cut(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 def task_count(df: DataFrame, bytes_per_task: int = TASK_BYTES) -> int:
     """Partitions for a shuffle of df: the session's number, or more where the input is large for it."""
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(math.ceil(size / bytes_per_task), 1_000_000) if size < 1 << 60 else least)
 
