@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe_automaton, packing, simhash, substring, token_files
+from . import bpe_automaton, chat, matroska, packing, simhash, substring, token_files
 
 QUERIES: dict[str, Callable] = {
+    "op2_chat_format": chat.op2_chat_format,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op5_token_files": token_files.op5_token_files,
     "op6_simhash": simhash.op6_simhash,
     "op7_packing": packing.op7_packing,
     "op8_bpe": bpe_automaton.op8_bpe,
+    "op10_matroska": matroska.op10_matroska,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": chat.ORACLE,
     "op3_substring_dedup": substring.ORACLE,
 }
