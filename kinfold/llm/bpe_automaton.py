@@ -24,16 +24,9 @@ from . import common, segments
 COLUMNS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def byte_symbols() -> dict[str, int]:
-    """The printable stand-ins of byte-level vocabularies: printable Latin-1 for itself, other bytes from 256 on, in order."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    odd = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(odd)}
-
-
 class Automaton:
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int] | None = None):
-        symbols = byte_symbols()
+        symbols = segments.byte_symbols()
         self.special = special or {}
         self.labels = {i: bytes(symbols[c] for c in s) for s, i in vocabulary.items() if s not in self.special}
         self.labels |= {i: s.encode() for s, i in self.special.items()}
@@ -165,7 +158,7 @@ def encoder(path: str) -> segments.SegmentEncoder:
             out.append((",".join(map(str, ids)).encode(), automaton.decode(ids)))
         return out
 
-    return segments.SegmentEncoder(encode, automaton.special)
+    return segments.SegmentEncoder(encode, automaton.special, lambda a, b: (a[0] + b"," + b[0], a[1] + b[1]))
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

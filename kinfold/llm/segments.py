@@ -7,15 +7,20 @@ texts do, so each task encodes a distinct segment once and keeps its rendered id
 
 from __future__ import annotations
 
+import operator
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable
 
 SPACE = "\t-\r \x85\xa0  -     　"
 _pieces = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _double = re.compile(r"\s\s")
 #: Rendered segments that a task keeps, and the longest segment that it keeps.
-KEPT, LONGEST = 400_000, 64
+KEPT, LONGEST = 500_000, 64
+#: What may end a segment as a word of its own, after a letter.
+MARKS = ".,;:!?%&$#*"
 
 
 def segments(text: str) -> list[str]:
@@ -26,11 +31,14 @@ def segments(text: str) -> list[str]:
 class SegmentEncoder:
     """Renders texts through encode, a function from a list of strings to a list of rendered ids (bytes).
 
-    encode must treat a segment as it would inside a text. special: strings that are matched before words are split.
+    encode must treat a segment as it would inside a text. special: strings that are matched before words are split. join: makes
+    one rendering of two. A segment of letters and then punctuation marks is two words, so its parts are encoded apart: there
+    are far fewer stems than segments.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], special: Iterable[str] = (), joiner: Callable | None = None):
-        self.encode, self.special = encode, [s for s in special if s]
+    def __init__(self, encode: Callable[[list[str]], list], special: Iterable[str] = (), join: Callable = operator.add):
+        self.encode_all, self.special, self.join = encode, [s for s in special if s], join
+        self.stems: dict[str, object] = {}
         self.spaced: dict[str, object] = {}  # by what follows one space; a segment that begins with a line feed stands for itself
         self.bare: dict[str, object] = {}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -62,6 +70,31 @@ class SegmentEncoder:
             out.append(got)
         return out
 
+    def encode(self, parts: list[str]) -> list:
+        split = []
+        for w in parts:
+            stem = w.rstrip(MARKS)
+            lined = stem[:1] == "\n" and stem[1:2].isalpha()
+            cut = len(stem) if stem and stem[-1].isalpha() and stem[-1] < "\u0250" else len(w)
+            split.append((w[:1] if lined else "", w[lined:cut], w[cut:]))
+        stems = self.stems
+        new = {x for row in split for x in row if x} - stems.keys()
+        if len(stems) + len(new) > KEPT:
+            stems.clear()
+            new = {x for row in split for x in row if x}
+        new = sorted(new)
+        if new:
+            stems.update(zip(new, self.encode_all(new), strict=True))
+        out = []
+        for line, word, tail in split:
+            got = stems[word]
+            if line:
+                got = self.join(stems[line], got)
+            out.append(self.join(got, stems[tail]) if tail else got)
+        for w in [w for w in new if len(w) > LONGEST]:
+            del stems[w]
+        return out
+
     def _known(self, kept: dict, need: set[str], whole: Callable[[str], str]) -> dict:
         new = sorted(need - kept.keys())
         if not new:
@@ -77,18 +110,42 @@ class SegmentEncoder:
         return {w: kept[w] if w in kept else made[w] for w in need}
 
 
+def byte_symbols() -> dict[str, int]:
+    """The printable stand-ins of byte-level vocabularies: printable Latin-1 for itself, other bytes from 256 on, in order."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    odd = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(odd)}
+
+
 def library_encoder(path: str) -> SegmentEncoder:
-    """Renders ids as little-endian unsigned 32-bit integers, by the tokenizers library."""
+    """Renders ids as little-endian unsigned 32-bit integers, by the tokenizers library. A single word of Latin letters goes to
+    its model at once, all else through its whole pipeline."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import numpy as np
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_padding()
     t.no_truncation()
-
-    def encode(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)]
+    tokenize, stand_in = t.model.tokenize, {b: c for c, b in byte_symbols().items()}
+
+    def packed(ids: list[int]) -> bytes:
+        ids = array("I", ids)
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def encode(parts: list[str]) -> list[bytes]:
+        out: list = [None] * len(parts)
+        rest = []
+        for k, w in enumerate(parts):
+            word = w[1:] if w[:1] == " " else w
+            if word.isalpha() and max(word) < "\u0250":
+                out[k] = packed([x.id for x in tokenize(w.encode().decode("latin-1").translate(stand_in))])
+            else:
+                rest.append(k)
+        for k, e in zip(rest, t.encode_batch_fast([parts[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = packed(e.ids)
+        return out
 
     return SegmentEncoder(encode, [a.content for a in t.get_added_tokens_decoder().values()])
 
