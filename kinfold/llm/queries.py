@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe_automaton, chat, matroska, multi_index, packing, pii, simhash, substring, token_files
+from . import bpe_automaton, chat, matroska, multi_index, packing, pii, quality, simhash, substring, token_files
 
 QUERIES: dict[str, Callable] = {
+    "op1_quality": quality.op1_quality,
     "op2_chat_format": chat.op2_chat_format,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op5_token_files": token_files.op5_token_files,
