@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import common, packing, pii, quality, simhash, substring
 
+
 def _shaped(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """rows with the columns of docs, n_chars counted anew."""
     if "n_chars" in docs.columns:

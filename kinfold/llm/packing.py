@@ -127,8 +127,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, wi
 
         for b in batches:
             for doc, got in zip(b.column(0).to_pylist(), encoder.render(b.column(1).to_pylist()), strict=True):
-                got.append(last)
-                ids = np.frombuffer(b"".join(got), "<u4")
+                ids = np.frombuffer(got + last, "<u4")
                 whole = len(ids) // window * window
                 for start in range(0, whole, window):
                     packer.closed.append([((doc, len(ids)), start, ids[start : start + window])])

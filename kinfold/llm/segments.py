@@ -13,12 +13,13 @@ import re
 import sys
 from array import array
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 SPACE = "\t-\r \x85\xa0  -     　"
 _pieces = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _double = re.compile(r"\s\s")
 #: Rendered segments that a task keeps, and the longest segment that it keeps.
-KEPT, LONGEST = 500_000, 64
+KEPT, LONGEST = 900_000, 64
 #: What may end a segment as a word of its own, after a letter.
 MARKS = ".,;:!?%&$#*"
 
@@ -32,11 +33,12 @@ class SegmentEncoder:
     """Renders texts through encode, a function from a list of strings to a list of rendered ids (bytes).
 
     encode must treat a segment as it would inside a text. special: strings that are matched before words are split. join: makes
-    one rendering of two. A segment of letters and then punctuation marks is two words, so its parts are encoded apart: there
+    one rendering of two, whole one of all of a text's. A segment of letters and then punctuation marks is two words, so its parts are encoded apart: there
     are far fewer stems than segments.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], special: Iterable[str] = (), join: Callable = operator.add):
+    def __init__(self, encode: Callable[[list[str]], list], special: Iterable[str] = (), join: Callable = operator.add, whole: Callable = list):
+        self.whole = whole
         self.encode_all, self.special, self.join = encode, [s for s in special if s], join
         self.stems: dict[str, object] = {}
         self.spaced: dict[str, object] = {}  # by what follows one space; a segment that begins with a line feed stands for itself
@@ -50,8 +52,8 @@ class SegmentEncoder:
         first, *rest = text.replace("\n", " \n").split(" ")
         return [("bare", [first] if first else []), ("spaced", rest)]
 
-    def render(self, texts: list[str]) -> list[list]:
-        """For each text the rendered ids of its segments, in order."""
+    def render(self, texts: list[str]) -> list:
+        """For each text what whole makes of the renderings of its segments, in order."""
         plans, need_bare, need_spaced = [], set(), set()
         for text in texts:
             plan = []
@@ -64,10 +66,7 @@ class SegmentEncoder:
         spaced = self._known(self.spaced, need_spaced, lambda w: w if w[:1] == "\n" else " " + w)
         out = []
         for plan in plans:
-            got: list = []
-            for kind, words in plan:
-                got += map((bare if kind == "bare" else spaced).__getitem__, words)
-            out.append(got)
+            out.append(self.whole(chain.from_iterable([map((bare if kind == "bare" else spaced).__getitem__, words) for kind, words in plan])))
         return out
 
     def encode(self, parts: list[str]) -> list:
@@ -147,7 +146,7 @@ def library_encoder(path: str) -> SegmentEncoder:
             out[k] = packed(e.ids)
         return out
 
-    return SegmentEncoder(encode, [a.content for a in t.get_added_tokens_decoder().values()])
+    return SegmentEncoder(encode, [a.content for a in t.get_added_tokens_decoder().values()], whole=b"".join)
 
 
 def default_path() -> str:

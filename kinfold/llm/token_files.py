@@ -49,8 +49,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
                 ids += b.column(0).fill_null(0).to_pylist()
                 null += b.column(0).is_null().to_pylist()
                 for got in encoder.render(b.column(1).to_pylist()):
-                    got.append(last)
-                    whole = np.frombuffer(b"".join(got), "<u4")
+                    whole = np.frombuffer(got + last, "<u4")
                     out.write(whole.astype(kind).tobytes())
                     total += len(whole)
                     ends.append(total)
