@@ -78,12 +78,22 @@ def cut(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """The plan's size estimate, which for files is their size; None where there is none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else None
+
+
 def task_count(df: DataFrame, bytes_per_task: int = TASK_BYTES) -> int:
     """Partitions for a shuffle of df: the session's number, or more where the input is large for it."""
-    spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(math.ceil(size / bytes_per_task), 1_000_000) if size < 1 << 60 else least)
+    size = input_bytes(df) or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bytes_per_task))
+
+
+def piece_count(df: DataFrame, bytes_per_piece: int) -> int:
+    """Groups of rows that follow the size of df alone."""
+    size = input_bytes(df)
+    return max(8, math.ceil(size / bytes_per_piece)) if size is not None else 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def text_of(column: str = "text") -> Column:

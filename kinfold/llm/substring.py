@@ -89,7 +89,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, text: str | None = None) -> D
     kept_sha256 (of the kept words joined by one space). text: if given, that column is the text without the removed intervals
     and takes the place of one of that name; a text that loses nothing stays as it is."""
     common.prepare(docs.sparkSession)
-    chunks = buckets = 4 * common.task_count(docs, 4 * CHUNK_BYTES)
+    chunks = buckets = common.piece_count(docs, CHUNK_BYTES)
     placed = dealt(docs, chunks)
 
     def send(table: pa.Table) -> pa.Table:
