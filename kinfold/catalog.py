@@ -1,14 +1,9 @@
-"""Queries by name, each with the SQL that gives the same rows."""
+"""Queries by name, each with the SQL that gives the same rows where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from kinfold.plans import pair_queries, text_queries
+from kinfold.plans.pair_queries import flagship
+from kinfold.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "pair_queries", "text_queries"]
