@@ -1,0 +1 @@
+"""Nothing here: record linkage as done in this repository is a batch job without event times or late data."""
