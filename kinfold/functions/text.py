@@ -188,3 +188,19 @@ def record_keys(name: Column, address: Column) -> Column:
     typed = F.flatten(F.transform(F.array_distinct(ks), lambda k: F.transform(numbers, lambda d: F.concat(F.lit("T|"), k, F.lit("|"), d))))
     near = F.zip_with(F.slice(ks, 1, F.greatest(F.size(ks) - 1, F.lit(0))), F.slice(ks, 2, F.greatest(F.size(ks) - 1, F.lit(0))), lambda a, b: F.concat(F.lit("N|"), a, F.lit("|"), b))
     return F.array_distinct(F.concat(typed, F.when(F.size(ks) > 1, near).otherwise(F.array().cast("array<string>"))))
+
+
+def key_hash(key: Column) -> Column:
+    """A key as one 64-bit number of two checksums."""
+    return F.shiftleft(F.crc32(key), 32).bitwiseOR(F.crc32(F.reverse(key)))
+
+
+def pair_hash(s1: Column, cand: Column) -> Column:
+    return F.xxhash64(s1, cand)
+
+
+def neighbour_number(a: Column, b: Column) -> Column:
+    """1 if two house numbers (digits and an optional letter) are at most four apart or differ in the letter alone, 0 if not, NULL if one is missing."""
+    x, y = (F.regexp_extract(c, "^([0-9]{1,11})", 1) for c in (a, b))
+    near = (x != "") & (y != "") & ((F.abs(x.try_cast("long") - y.try_cast("long")).between(1, 4)) | ((x == y) & (a != b)))
+    return F.when(a.isNull() | b.isNull(), None).otherwise(near.cast("double"))

@@ -108,3 +108,17 @@ def loss_budget(pairs: DataFrame, band: list[float]) -> DataFrame:
     wrong = ((F.col("prob") >= 0.5).cast("int") != F.col("label")).cast("int")
     n = W.Window.partitionBy("s1")
     return pairs.withColumn("share", wrong / F.count(F.lit(1)).over(n)).groupBy(slot.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_right"), F.sum(wrong).alias("n_wrong"), F.round(F.sum("share"), 6).alias("weighted_wrong"))
+
+
+def fixed_gain(truth: DataFrame, pairs: DataFrame, least: float, band: list[float]) -> DataFrame:
+    """Macro F0.5 of prob >= least, and what it would be if the pairs of each band of prob were all judged rightly. truth: s1, m;
+    pairs: s1, cand, prob, label."""
+    n = truth.groupBy("s1").agg(F.count("m").alias("n_true"))
+    edges = F.array(*[F.lit(b) for b in band])
+    slot = F.size(F.filter(edges, lambda e: F.col("prob") >= e))
+    on = (F.col("prob") >= least).cast("int")
+    per = pairs.withColumn("slot", slot).withColumn("b", F.explode(F.sequence(F.lit(-1), F.lit(len(band)))))
+    said = F.when(F.col("b") == F.col("slot"), F.col("label")).otherwise(on)
+    got = per.groupBy("b", "s1").agg(F.sum(said).alias("n_pred"), F.sum(said * F.col("label")).alias("tp"))
+    every = n.withColumn("b", F.explode(F.sequence(F.lit(-1), F.lit(len(band))))).join(got, ["b", "s1"], "left").fillna(0)
+    return every.groupBy("b").agg(F.round(F.avg(f_beta(F.col("tp"), F.col("n_pred"), F.col("n_true"))), 6).alias("f05"))

@@ -51,3 +51,41 @@ def residual(rows: DataFrame, features: list[str]) -> DataFrame:
     q = F.least(F.greatest("p", F.lit(1e-7)), F.lit(1 - 1e-7))
     more = rows.withColumn("logit", F.log(q / (1 - q)))
     return applied(fitted(more, [*features, "logit"]), more, [*features, "logit"], "p2")
+
+
+def logit(p):
+    q = F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
+    return F.log(q / (1 - q))
+
+
+def shifted(p, by):
+    """A probability moved in logit space."""
+    return 1 / (1 + F.exp(-(logit(p) + by)))
+
+
+def prune_sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Per threshold on prob: the share of pairs kept and of right pairs kept."""
+    each = rows.select("prob", "label", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("thr"))
+    on = (F.col("prob") >= F.col("thr")).cast("int")
+    return each.groupBy("thr").agg(F.round(F.avg(on), 6).alias("kept"), F.round(F.sum(on * F.col("label")) / F.sum("label"), 6).alias("recall"))
+
+
+def banded(rows: DataFrame, low: float, high: float, easy: float) -> DataFrame:
+    """Training pairs: all of the undecided band and a hash-chosen share of the others."""
+    inside = F.col("prob").between(low, high)
+    return rows.filter(inside | (fold("cand", 1_000, "band") < easy * 1_000))
+
+
+def uniform(entities: DataFrame, n: int, seed: str = "u") -> DataFrame:
+    """n entities without replacement, the same ones on every run."""
+    return entities.orderBy(F.md5(F.concat(F.col("s1").cast("string"), F.lit(seed))), "s1").limit(n)
+
+
+def self_trained(rows: DataFrame, features: list[str], unseen, rounds: int = 2, sure: float = 0.98, unsure: float = 0.02) -> DataFrame:
+    """Scores for the pairs where unseen holds: the labelled pairs train a model, its sure answers there train the next."""
+    known, other = rows.filter(~unseen), rows.filter(unseen).drop("label")
+    scored = applied(fitted(known, features), other, features)
+    for _ in range(rounds):
+        pseudo = scored.filter((F.col("p") >= sure) | (F.col("p") <= unsure)).withColumn("label", (F.col("p") >= sure).cast("int")).select(known.columns)
+        scored = applied(fitted(known.unionByName(pseudo), features), other, features)
+    return scored

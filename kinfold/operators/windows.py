@@ -108,3 +108,18 @@ def stacker(rows: DataFrame) -> DataFrame:
     other = F.coalesce(F.when(F.col("_r") == 1, second).otherwise(F.max("logit").over(w)), F.lit(-20.0))
     band = F.sum(F.col("prob").between(1e-3, 0.999).cast("int")).over(w)
     return got.select(*rows.columns, "logit", (F.col("_r") - 1).alias("ce_rank"), F.when(F.count(F.lit(1)).over(w) == 1, 20.0).otherwise(F.round(F.col("logit") - other, 6)).alias("ce_gap"), other.alias("ce_max_o"), band.alias("n_band"), F.sum((F.col("prob") >= 0.999).cast("int")).over(w).alias("n_sure"))
+
+
+def rescue(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows: new pairs s1, cand, ce, cos. Ranks by both scores, new pairs of the entity, and what its known pairs' prob says (0 without any)."""
+    w = W.Window.partitionBy("s1")
+    got = known.groupBy("s1").agg(F.max("prob").alias("ent_pmax"), F.round(F.sum("prob"), D).alias("ent_psum"), F.sum((F.col("prob") >= 0.5).cast("int")).alias("ent_n50"))
+    ranks = [(F.row_number().over(w.orderBy(F.desc(c), "cand")) - 1).alias(f"{c}_rank") for c in ("ce", "cos")]
+    return rows.select("*", *ranks, F.count(F.lit(1)).over(w).alias("n_new")).join(got, "s1", "left").fillna(0, ["ent_pmax", "ent_psum", "ent_n50"])
+
+
+def empty_sums(rows: DataFrame) -> DataFrame:
+    """rows: s1, cand, prob, empty. Summed prob of the entity's other pairs without and with an address."""
+    w = W.Window.partitionBy("s1")
+    e, f = F.col("prob") * F.col("empty"), F.col("prob") * (1 - F.col("empty"))
+    return rows.select("s1", "cand", F.round(F.sum(e).over(w) - e, D).alias("ent_empty_psum"), F.round(F.sum(f).over(w) - f, D).alias("ent_nonempty_psum"))

@@ -19,7 +19,7 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 def decode(entity_id: Column) -> Column:
     """S2-00047 as source times 10^10 plus number."""
-    return F.substring(entity_id, 2, 1).cast("long") * OFFSET + F.expr(f"substring({entity_id._jc.toString()}, 4)").cast("long")
+    return F.substring(entity_id, 2, 1).cast("long") * OFFSET + F.substring(entity_id, 4, 20).cast("long")
 
 
 def encode(code: Column) -> Column:
