@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of input files that one task should handle where an operator holds a task's rows together.
 TASK_BYTES = 16 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 BATCH_ROWS = 4096
 
 _shipped: set[str] = set()

@@ -29,7 +29,7 @@ SAMPLE, BITS = 4_000, 14
 LABELERS = ("symbols", "shouting", "table", "echo", "letters", "casing", "variety", "sentences")
 SYMBOLS, MARKS = b"#$%&*~^<>{}[]\\|!", b".,;:?'\"()-"
 
-_class = np.full(256, 4, np.int64)
+_class = np.full(256, 4, np.uint8)
 _class[list(range(97, 123)) + list(range(128, 256))] = 0
 _class[65:91] = 1
 _class[48:58] = 2
@@ -46,7 +46,7 @@ class Documents:
         self.echo[1:] = (self.hash[1:] == self.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
         kinds = _class[data]
         if len(data):
-            first, last, before = kinds[w.start], kinds[w.end - 1], kinds[np.maximum(w.end - 2, w.start)]
+            first, last, before = (kinds[k].astype(np.int64) for k in (w.start, w.end - 1, np.maximum(w.end - 2, w.start)))
         else:
             first = last = before = np.zeros(0, np.int64)
         size = np.minimum(w.end - w.start, 3) - 1
@@ -56,7 +56,8 @@ class Documents:
         self.last, self.before = last, before
 
     def per(self, mask: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(mask)])
+        sums = np.zeros(len(mask) + 1, np.int32 if len(mask) < 1 << 31 else np.int64)
+        np.cumsum(mask, out=sums[1:])
         return sums[self.words.offsets[1:]] - sums[self.words.offsets[:-1]]
 
     def patterns(self) -> np.ndarray:
