@@ -139,26 +139,17 @@ def load(path: str) -> tuple[Automaton, object]:
 def encoder(path: str) -> segments.SegmentEncoder:
     """Renders a segment as (decimal ids joined by commas, bytes that decoding emits)."""
     automaton, pattern = load(path)
-    known: dict[str, list[int]] = {}
 
-    def ids_of(word: str) -> list[int]:
-        got = known.get(word)
-        if got is None:
-            got = automaton.encode(word.encode())
-            if len(word) <= segments.LONGEST:
-                if len(known) >= segments.KEPT // 2:
-                    known.clear()
-                known[word] = got
-        return got
+    def rendered(ids: list[int]) -> tuple[bytes, bytes]:
+        return ",".join(map(str, ids)).encode(), automaton.decode(ids)
 
-    def encode(parts: list[str]) -> list[tuple[bytes, bytes]]:
-        out = []
-        for s in parts:
-            ids = [automaton.special[s]] if s in automaton.special else [i for w in pattern.findall(s) for i in ids_of(w)]
-            out.append((",".join(map(str, ids)).encode(), automaton.decode(ids)))
-        return out
+    def word(w: str) -> tuple[bytes, bytes]:
+        return rendered(automaton.encode(w.encode()))
+
+    def text(s: str) -> tuple[bytes, bytes]:
+        return rendered([automaton.special[s]] if s in automaton.special else [i for w in pattern.findall(s) for i in automaton.encode(w.encode())])
 
-    return segments.SegmentEncoder(encode, automaton.special, lambda a, b: (a[0] + b"," + b[0], a[1] + b[1]))
+    return segments.SegmentEncoder(word, text, automaton.special, lambda a, b: (a[0] + b"," + b[0], a[1] + b[1]))
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -20,8 +20,8 @@ _pieces = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _double = re.compile(r"\s\s")
 #: Rendered segments that a task keeps, and the longest segment that it keeps.
 KEPT, LONGEST = 500_000, 64
-#: What may end a segment as a word of its own, after a letter.
-MARKS = ".,;:!?%&$#*"
+#: What may end a segment as a word of its own, after a letter, and what all Latin letters come before.
+MARKS, LATIN = ".,;:!?%&$#*", "\u0250"
 
 
 def segments(text: str) -> list[str]:
@@ -29,85 +29,70 @@ def segments(text: str) -> list[str]:
     return _pieces.findall(text)
 
 
-class SegmentEncoder:
-    """Renders texts through encode, a function from a list of strings to a list of rendered ids (bytes).
+class _Table(dict):
+    """Renderings by segment, of bounded size; a segment that is not there is rendered and, if short, kept."""
+
+    def __init__(self, render: Callable[[str], object]):
+        super().__init__()
+        self.render = render
+
+    def __missing__(self, segment: str):
+        got = self.render(segment)
+        if len(segment) <= LONGEST:
+            if len(self) >= KEPT:
+                self.clear()
+            self[segment] = got
+        return got
+
 
-    encode must treat a segment as it would inside a text. special: strings that are matched before words are split. join: makes
-    one rendering of two, whole one of all of a text's. A segment of letters and then punctuation marks is two words, so its parts are encoded apart: there
-    are far fewer stems than segments.
+class SegmentEncoder:
+    """Renders texts. word renders one word of Latin letters, with or without a space before it, text any string as it would be
+    inside a text. special: strings that are matched before words are split. join makes one rendering of two, whole one of all of
+    a text's. A segment of letters and then punctuation marks is two words, and a line feed before letters is one, so their parts
+    are rendered apart: there are far fewer stems than segments.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], special: Iterable[str] = (), join: Callable = operator.add, whole: Callable = list):
-        self.whole = whole
-        self.encode_all, self.special, self.join = encode, [s for s in special if s], join
-        self.stems: dict[str, object] = {}
-        self.spaced: dict[str, object] = {}  # by what follows one space; a segment that begins with a line feed stands for itself
-        self.bare: dict[str, object] = {}
+    def __init__(self, word: Callable[[str], object], text: Callable[[str], object], special: Iterable[str] = (), join: Callable = operator.add, whole: Callable = list):
+        self.word, self.text, self.join, self.whole = word, text, join, whole
+        self.special = [s for s in special if s]
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-
-    def _parts(self, text: str) -> list[tuple[str, bool, list[str]]]:
-        """(kind, words or segments) of a text without special strings."""
+        self.spaced = _Table(self._after_space)  # by what follows one space; a segment that begins with a line feed stands for itself
+        self.bare = _Table(self._alone)
+
+    def _after_space(self, s: str):
+        if s[:1] == "\n":
+            return self.join(self.bare["\n"], self.bare[s[1:]]) if s[1:2].isalpha() else self.text(s)
+        return self._rendered(s, " ", self.spaced)
+
+    def _alone(self, s: str):
+        return self._rendered(s, "", self.bare)
+
+    def _rendered(self, s: str, before: str, table: _Table):
+        if s.isalpha() and max(s) < LATIN:
+            return self.word(before + s)
+        stem = s.rstrip(MARKS)
+        if stem and len(stem) < len(s) and stem[-1].isalpha() and stem[-1] < LATIN:
+            return self.join(table[stem], self.bare[s[len(stem) :]])
+        return self.text(before + s)
+
+    def _of(self, text: str) -> Iterable:
         if _double.search(text):
-            return [("bare", segments(text))]
+            return map(self.bare.__getitem__, segments(text))
         first, *rest = text.replace("\n", " \n").split(" ")
-        return [("bare", [first] if first else []), ("spaced", rest)]
+        got = map(self.spaced.__getitem__, rest)
+        return chain((self.bare[first],), got) if first else got
 
     def render(self, texts: list[str]) -> list:
         """For each text what whole makes of the renderings of its segments, in order."""
-        plans, need_bare, need_spaced = [], set(), set()
-        for text in texts:
-            plan = []
-            for k, part in enumerate(self.split.split(text) if self.split and any(s in text for s in self.special) else [text]):
-                plan += [("bare", [part])] if k % 2 else self._parts(part)
-            for kind, words in plan:
-                (need_bare if kind == "bare" else need_spaced).update(words)
-            plans.append(plan)
-        bare = self._known(self.bare, need_bare, lambda w: w)
-        spaced = self._known(self.spaced, need_spaced, lambda w: w if w[:1] == "\n" else " " + w)
-        out = []
-        for plan in plans:
-            out.append(self.whole(chain.from_iterable([map((bare if kind == "bare" else spaced).__getitem__, words) for kind, words in plan])))
-        return out
-
-    def encode(self, parts: list[str]) -> list:
-        split = []
-        for w in parts:
-            stem = w.rstrip(MARKS)
-            lined = stem[:1] == "\n" and stem[1:2].isalpha()
-            cut = len(stem) if stem and stem[-1].isalpha() and stem[-1] < "\u0250" else len(w)
-            split.append((w[:1] if lined else "", w[lined:cut], w[cut:]))
-        stems = self.stems
-        new = {x for row in split for x in row if x} - stems.keys()
-        if len(stems) + len(new) > KEPT:
-            stems.clear()
-            new = {x for row in split for x in row if x}
-        new = sorted(new)
-        if new:
-            stems.update(zip(new, self.encode_all(new), strict=True))
         out = []
-        for line, word, tail in split:
-            got = stems[word]
-            if line:
-                got = self.join(stems[line], got)
-            out.append(self.join(got, stems[tail]) if tail else got)
-        for w in [w for w in new if len(w) > LONGEST]:
-            del stems[w]
+        for text in texts:
+            if self.split and any(s in text for s in self.special):
+                parts = [(self.text(p),) if k % 2 else self._of(p) for k, p in enumerate(self.split.split(text)) if p]
+                out.append(self.whole(chain.from_iterable(parts)))
+            else:
+                out.append(self.whole(self._of(text)))
         return out
 
-    def _known(self, kept: dict, need: set[str], whole: Callable[[str], str]) -> dict:
-        new = sorted(need - kept.keys())
-        if not new:
-            return kept
-        made = dict(zip(new, self.encode([whole(w) for w in new]), strict=True))
-        if len(kept) + len(made) > KEPT:
-            kept.clear()
-        kept.update((w, x) for w, x in made.items() if len(w) <= LONGEST)
-        if all(len(w) <= LONGEST for w in made) and need <= kept.keys():
-            return kept
-        again = sorted(need - kept.keys() - made.keys())
-        made.update(zip(again, self.encode([whole(w) for w in again]), strict=True) if again else ())
-        return {w: kept[w] if w in kept else made[w] for w in need}
-
 
 def byte_symbols() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies: printable Latin-1 for itself, other bytes from 256 on, in order."""
@@ -133,20 +118,13 @@ def library_encoder(path: str) -> SegmentEncoder:
             ids.byteswap()
         return ids.tobytes()
 
-    def encode(parts: list[str]) -> list[bytes]:
-        out: list = [None] * len(parts)
-        rest = []
-        for k, w in enumerate(parts):
-            word = w[1:] if w[:1] == " " else w
-            if word.isalpha() and max(word) < "\u0250":
-                out[k] = packed([x.id for x in tokenize(w.encode().decode("latin-1").translate(stand_in))])
-            else:
-                rest.append(k)
-        for k, e in zip(rest, t.encode_batch_fast([parts[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = packed(e.ids)
-        return out
+    def word(w: str) -> bytes:
+        return packed([x.id for x in tokenize(w.encode().decode("latin-1").translate(stand_in))])
+
+    def text(w: str) -> bytes:
+        return packed(t.encode(w, add_special_tokens=False).ids)
 
-    return SegmentEncoder(encode, [a.content for a in t.get_added_tokens_decoder().values()], whole=b"".join)
+    return SegmentEncoder(word, text, [a.content for a in t.get_added_tokens_decoder().values()], whole=b"".join)
 
 
 def default_path() -> str:
