@@ -185,25 +185,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dict]
     return weights, bias, learned
 
 
-def judged(docs: DataFrame, model: tuple | None = None) -> DataFrame:
-    """docs with score and keep added (columns of those names are replaced)."""
+def judged(docs: DataFrame, model: tuple | None = None, added: tuple[str, str] = ("score", "keep")) -> DataFrame:
+    """docs with score and keep, or other names for them, added; columns of those names are replaced."""
     weights, bias, _ = model or fit(docs)
     common.prepare(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("score", "keep")]
-    place, small = names.index("text"), weights.astype(np.float32)
+    names = [c for c in docs.columns if c not in added]
+    place = names.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = Documents(b.column(place)).scores(small.astype(np.float64), bias)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64()), pa.array(score >= 0)], [*names, "score", "keep"])
+            score = Documents(b.column(place)).scores(weights, bias)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64()), pa.array(score >= 0)], [*names, *added])
 
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.BooleanType())])
     return docs.select(names).mapInArrow(task, schema)
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, as they were."""
-    return judged(docs).filter("keep").select(docs.columns) if not {"score", "keep"} & set(docs.columns) else docs.join(judged(docs.select("doc_id", "text")).filter("keep").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    return judged(docs, added=("_score", "_keep")).filter("_keep").select(docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

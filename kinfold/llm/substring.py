@@ -29,8 +29,10 @@ from .words import Words
 
 WINDOW, BITS = 13, 62
 LAST_ID = (1 << 63) - 1
-#: Input bytes of a chunk.
+#: Input bytes of a chunk; chunks times buckets messages are sent, so it should grow with very large inputs.
 CHUNK_BYTES = 2 << 20
+#: Quantiles of doc_id that are asked for at most.
+CUTS = 2000
 ADDED = "_chunk"
 
 
@@ -71,15 +73,22 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def dealt(docs: DataFrame, chunks: int) -> DataFrame:
-    """docs with the number of the range of doc_id that each row falls into."""
+    """docs with the number of the range of doc_id that each row falls into. Quantiles give up to CUTS ranges, each is cut evenly further."""
     key = F.coalesce("doc_id", F.lit(LAST_ID))
-    shares = F.array(*[F.lit((k + 1) / chunks) for k in range(chunks - 1)]) if chunks > 1 else F.array(F.lit(0.5))
-    cuts = docs.agg(F.percentile_approx(key, shares, max(10_000, 20 * chunks)).alias("c")).first()["c"] or []  # one number a chunk
-    edges = np.array(sorted(set(cuts)) if chunks > 1 else [], np.int64)
+    cuts = min(chunks, CUTS)
+    parts = -(-chunks // cuts)
+    shares = F.array(*[F.lit(k / cuts) for k in range(cuts + 1)])
+    found = docs.agg(F.percentile_approx(key, shares, max(10_000, 20 * cuts)).alias("c")).first()["c"] or [0]
+    edges = np.unique(np.array(found, np.int64))
 
     @F.pandas_udf("long")
     def chunk(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), "left"))
+        i = ids.to_numpy(np.int64)
+        slot = np.clip(np.searchsorted(edges, i, "right") - 1, 0, len(edges) - 1)
+        low, high = edges[slot], edges[np.minimum(slot + 1, len(edges) - 1)]
+        low, high = low.astype(np.float64), high.astype(np.float64)
+        inside = np.clip((i.astype(np.float64) - low) / np.maximum(high - low, 1.0), 0, 1)
+        return pd.Series(slot * parts + np.minimum((inside * parts).astype(np.int64), parts - 1))
 
     return docs.withColumn(ADDED, chunk(key))
 
