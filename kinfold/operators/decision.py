@@ -11,9 +11,11 @@ SUPPORT, TINY = 16, 1e-12
 
 
 def exclusive(rows: DataFrame) -> DataFrame:
-    """Each candidate stays with its most probable entity, ties with the smaller one."""
-    w = W.Window.partitionBy("cand").orderBy(F.desc("prob"), "s1")
-    return rows.withColumn("_o", F.row_number().over(w)).filter("_o = 1").drop("_o")
+    """Each candidate stays with its most probable entity, ties with the smaller one. A maximum, so it is combined before the shuffle
+    however many entities claim a candidate."""
+    rest = [c for c in rows.columns if c not in ("s1", "cand", "prob")]
+    best = rows.groupBy("cand").agg(F.max(F.struct("prob", (-F.col("s1")).alias("_o"), *rest)).alias("_b"))
+    return best.select("cand", (-F.col("_b._o")).alias("s1"), "_b.prob", *[f"_b.{c}" for c in rest]).select(rows.columns)
 
 
 def threshold(rows: DataFrame, least: float) -> DataFrame:

@@ -63,12 +63,13 @@ def other_source(rows: DataFrame, key: str) -> DataFrame:
 
 def competition(rows: DataFrame, score: str = "prob") -> DataFrame:
     """Per pair: the best score that another entity gives its candidate (0 if none), the margin, whether the entity is the best
-    claimant, and the number of claimants."""
-    w = W.Window.partitionBy("cand")
-    got = rows.withColumn("_r", F.row_number().over(w.orderBy(F.desc(score), "s1")))
-    second = F.coalesce(F.max(F.when(F.col("_r") == 2, F.col(score))).over(w), F.lit(0.0))
-    other = F.when(F.col("_r") == 1, second).otherwise(F.max(score).over(w))
-    return got.select(*rows.columns, other.alias("comp_best_other"), F.round(F.col(score) - other, D).alias("comp_margin"), (F.col("_r") == 1).cast("int").alias("comp_is_top"), F.count(F.lit(1)).over(w).alias("comp_n"))
+    claimant, and the number of claimants. Maxima and joins, not a window, as a candidate may have very many claimants."""
+    top = rows.groupBy("cand").agg(F.max(F.struct(F.col(score).alias("p"), (-F.col("s1")).alias("o"))).alias("_t"), F.count(F.lit(1)).alias("comp_n"))
+    got = rows.join(top, "cand")
+    is_top = F.col("s1") == -F.col("_t.o")
+    second = got.filter(~is_top).groupBy("cand").agg(F.max(score).alias("_p2"))
+    other = F.when(is_top, F.coalesce("_p2", F.lit(0.0))).otherwise(F.col("_t.p"))
+    return got.join(second, "cand", "left").select(*rows.columns, other.alias("comp_best_other"), F.round(F.col(score) - other, D).alias("comp_margin"), is_top.cast("int").alias("comp_is_top"), "comp_n")
 
 
 def competition_forward(rows: DataFrame, forward: DataFrame) -> DataFrame:
