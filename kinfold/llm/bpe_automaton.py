@@ -12,6 +12,7 @@ longest first, and walks back. Decoding emits the arcs' labels. Nulls count as e
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Iterator
@@ -136,6 +137,7 @@ def load(path: str) -> tuple[Automaton, object]:
     return _automata[path]
 
 
+@functools.cache
 def encoder(path: str) -> segments.SegmentEncoder:
     """Renders a segment as (decimal ids joined by commas, bytes that decoding emits)."""
     automaton, pattern = load(path)

@@ -7,6 +7,7 @@ texts do, so each task encodes a distinct segment once and keeps its rendered id
 
 from __future__ import annotations
 
+import functools
 import operator
 import os
 import re
@@ -19,7 +20,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 _pieces = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _double = re.compile(r"\s\s")
 #: Rendered segments that a task keeps, and the longest segment that it keeps.
-KEPT, LONGEST = 500_000, 64
+KEPT, LONGEST = 300_000, 64
 #: What may end a segment as a word of its own, after a letter, and what all Latin letters come before.
 MARKS, LATIN = ".,;:!?%&$#*", "\u0250"
 
@@ -55,6 +56,7 @@ class SegmentEncoder:
     def __init__(self, word: Callable[[str], object], text: Callable[[str], object], special: Iterable[str] = (), join: Callable = operator.add, whole: Callable = list):
         self.word, self.text, self.join, self.whole = word, text, join, whole
         self.special = [s for s in special if s]
+        self.size = 0  # ids, where known
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.spaced = _Table(self._after_space)  # by what follows one space; a segment that begins with a line feed stands for itself
         self.bare = _Table(self._alone)
@@ -101,9 +103,10 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(odd)}
 
 
+@functools.cache
 def library_encoder(path: str) -> SegmentEncoder:
     """Renders ids as little-endian unsigned 32-bit integers, by the tokenizers library. A single word of Latin letters goes to
-    its model at once, all else through its whole pipeline."""
+    its model at once, all else through its whole pipeline. One a process: a worker's next task finds its table filled."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -124,7 +127,9 @@ def library_encoder(path: str) -> SegmentEncoder:
     def text(w: str) -> bytes:
         return packed(t.encode(w, add_special_tokens=False).ids)
 
-    return SegmentEncoder(word, text, [a.content for a in t.get_added_tokens_decoder().values()], whole=b"".join)
+    encoder = SegmentEncoder(word, text, [a.content for a in t.get_added_tokens_decoder().values()], whole=b"".join)
+    encoder.size = t.get_vocab_size(with_added_tokens=True)
+    return encoder
 
 
 def default_path() -> str:

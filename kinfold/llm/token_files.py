@@ -35,10 +35,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        from tokenizers import Tokenizer
 
         encoder = segments.library_encoder(tokenizer)
-        kind = np.dtype("<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4")
+        kind = np.dtype("<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4")
         last = np.array([end_id], "<u4").tobytes()
         here = TaskContext.get()
         part, attempt = here.partitionId(), here.taskAttemptId()
