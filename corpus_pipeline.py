@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import common, packing, pii, quality, simhash, substring
+from kinfold.llm import common, packing, pii, quality, resemblance, substring
 
 
 def _shaped(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -25,8 +25,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest doc_id, of each group of linked fingerprints."""
-    return simhash.keep_one(docs)
+    """One document, that of smallest doc_id, of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    return resemblance.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality_classifier),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
     ("PII", remove_pii),
     ("packing", pack),

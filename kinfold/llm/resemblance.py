@@ -1,0 +1,214 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles, with candidates from prefix filtering.
+
+Under one order of all shingles, two sets whose similarity is at least t share a shingle among the first n - ceil(t * n) + 1 of
+each, n being the set's own size. This holds for every order, so shingles that a sample shows to be common come last: the
+sample decides the cost, never the result. Every candidate pair's sets are intersected before it counts as linked.
+
+Texts with the same set are one node. As groups of near copies share most of their prefixes, sorted neighbours of a shingle are
+checked first; afterwards only nodes of different components are, and those of a shingle's largest component not with each
+other. The components are the same as with all pairs.
+
+Texts are folded and cut like those of simhash.py; one with fewer words than a shingle is one shingle, one without words has the
+empty set. A null text has no words. Rows without doc_id stay and link nothing. An empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+from .components import components
+
+#: Similarity as a fraction, so that sizes are compared in whole numbers.
+SHINGLE, SIMILAR, SEED = 5, (4, 5), 42
+#: Documents that show which shingles are common, how many must hold one, and how many shingles are kept.
+SAMPLE, COMMON, KNOWN = 4000, 3, 1 << 18
+NEAR = 4
+#: Cells of the parity sketches of small and large sets.
+SMALL, LARGE = 1024, 8192
+
+
+def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    import xxhash
+
+    words = text.encode().lower().split()  # on bytes both act on ASCII alone
+    if not words:
+        return np.zeros(0, np.uint64)
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    at = [0, *accumulate(len(w) + 1 for w in words)]
+    if len(words) <= width:
+        return np.array([digest(line, SEED)], np.uint64)
+    return np.unique(np.fromiter((digest(line[a : b - 1], SEED) for a, b in zip(at, at[width:])), np.uint64))  # noqa: B905
+
+
+def prefix(found: np.ndarray, known: np.ndarray, similar: tuple[int, int] = SIMILAR) -> np.ndarray:
+    """The shingles one of which any similar set's prefix shares; those in known (sorted) come last in the order."""
+    p, q = similar
+    size = len(found) - -(-p * len(found) // q) + 1 if len(found) else 0
+    if len(known):
+        late = known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
+        found = np.concatenate([found[~late], found[late]])
+    return found[:size]
+
+
+def parity(found: np.ndarray) -> bytes:
+    """One bit a cell of hashes, set where an odd number falls: two sets differ in at least as many shingles as in bits."""
+    cells = LARGE if len(found) >= SMALL else SMALL
+    odd = np.bincount((found & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the shingles in which two sets differ."""
+    if len(a) != len(b):
+        a, b = (np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, SMALL // 64)).tobytes() for x in (a, b))
+    return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
+
+
+def _common(docs: DataFrame) -> np.ndarray:
+    """Shingles of several distinct sets of a sample, the most frequent ones; a bounded number reaches the driver."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64))], ["h"])
+
+    n = docs.count()
+    some = docs.select(common.text_of().alias("text"))
+    if n > SAMPLE:
+        some = some.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < max(1, (1 << 20) * SAMPLE // n))
+    counts = some.distinct().mapInArrow(task, "h long").groupBy("h").count().filter(F.col("count") >= COMMON)
+    top = counts.orderBy(F.desc("count"), "h").limit(KNOWN).select("h").toArrow().column("h")
+    return np.sort(top.to_numpy().view(np.uint64))
+
+
+def _sets(docs: DataFrame, known: np.ndarray) -> DataFrame:
+    """doc_id, s (the set's hash), n (its size), its parity sketch and its prefix."""
+    handed = docs.sparkSession.sparkContext.broadcast(known)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            found = [shingles(t) for t in b.column(1).to_pylist()]
+            s = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
+            first = pa.array([prefix(x, handed.value).view(np.int64) for x in found], pa.list_(pa.int64()))
+            odd = pa.array([parity(x) for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array([len(x) for x in found], pa.int64()), odd, first], ["doc_id", "s", "n", "odd", "prefix"])
+
+    return docs.select("doc_id", common.text_of().alias("text")).mapInArrow(task, "doc_id long, s long, n long, odd binary, prefix array<long>")
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """Candidate pairs of sorted neighbours of one shingle (columns h, n, s), without regard to partition ends."""
+    p, q = SIMILAR
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n, s = (np.zeros(0, np.int64) for _ in range(3))
+        for b in batches:
+            h, n, s = (np.concatenate([x[-NEAR:], b.column(k).to_numpy()]) for k, x in enumerate((h, n, s)))
+            for lag in range(1, min(NEAR, len(h) - 1) + 1):
+                near = (h[lag:] == h[:-lag]) & (s[lag:] != s[:-lag]) & (n[:-lag] * q >= n[lag:] * p)
+                if near.any():
+                    x, y = s[lag:][near], s[:-lag][near]
+                    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    dealt = rows.repartitionByRange(common.task_count(rows), "h", "n", "s").sortWithinPartitions("h", "n", "s")
+    return dealt.mapInArrow(task, "a long, b long").distinct()
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs a and b whose parity sketches allow the similarity; the others cannot reach it."""
+    p, q = SIMILAR
+    names = pairs.columns
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            least = np.fromiter((apart(x, y) for x, y in zip(b.column("oa").to_pylist(), b.column("ob").to_pylist(), strict=True)), np.int64, b.num_rows)
+            # n - least over n + least is the similarity if only these shingles differ
+            yield b.filter(pa.array((n - least) * q >= (n + least) * p)).select(names)
+
+    one, two = (nodes.select(F.col("s").alias(k), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}")) for k in ("a", "b"))
+    return pairs.join(two, "b").join(one, "a").select(*names, "na", "nb", "oa", "ob").mapInArrow(task, ", ".join(f"{c} long" for c in names))
+
+
+def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs a and b of nodes whose sets are similar."""
+    p, q = SIMILAR
+    names = pairs.columns
+    pairs, _ = common.cut(_possible(pairs, nodes), "pairs")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            s = np.array([xxhash.xxh64_intdigest(shingles(t).tobytes(), SEED) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield b.filter(pa.array(s == b.column(0).to_numpy()))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
+        for b in batches:
+            keep = []
+            for s, t, u in zip(b.column("a").to_pylist(), b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
+                if s != last:
+                    last, x = s, shingles(t)
+                y = shingles(u)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both * q >= (len(x) + len(y) - both) * p)
+            yield b.filter(pa.array(keep, pa.bool_())).select(names)
+
+    members = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    wanted = nodes.select("s", F.col("least").alias("doc_id")).join(members, "s")
+    # a repeated doc_id may have texts of other sets too
+    found = docs.join(wanted, "doc_id").select("s", common.text_of().alias("text")).mapInArrow(own, "s long, text string")
+    texts, _ = common.cut(found.dropDuplicates(["s"]), "texts")
+    one, two = (texts.select(F.col("s").alias(k), F.col("text").alias(f"t{k}")) for k in ("a", "b"))
+    both = pairs.join(two, "b").join(one, "a").select(*names, "ta", "tb")
+    return both.mapInArrow(task, ", ".join(f"{c} long" for c in names))
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id that links reach. Only rows with a doc_id take part."""
+    spark = docs.sparkSession
+    common.prepare(spark)
+    docs = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
+    sets, _ = common.cut(_sets(docs, _common(docs)), "sets")
+    nodes, _ = common.cut(sets.groupBy("s").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix")), "nodes")
+    posted = nodes.select(F.explode("prefix").alias("h"), "n", "s")
+    shared = posted.groupBy("h").count().filter("count > 1").select("h")
+    rows, _ = common.cut(posted.join(shared, "h").select("h", "n", "s"), "shared")
+    first, _ = common.cut(_checked(_neighbours(rows), nodes, docs), "near")
+    near = components(first)
+    label = F.coalesce("root", "s").alias("label")
+    keyed, _ = common.cut(rows.join(near.withColumnRenamed("node", "s"), "s", "left").select("h", "n", "s", label), "keyed")
+    sizes = keyed.groupBy("h", "label").count()
+    mixed = sizes.groupBy("h").agg(F.max(F.struct("count", "label")).getField("label").alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("h", "main")
+    p, q = SIMILAR
+    open_ = keyed.join(mixed, "h")
+    one, two = open_.filter("label <> main").alias("x"), open_.alias("y")
+    other = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.s") < F.col("y.s"))) & (F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p)
+    cross = one.join(two, (F.col("x.h") == F.col("y.h")) & other)
+    pairs = cross.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
+    links, _ = common.cut(_checked(pairs, nodes, docs), "links")
+    far = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    named = nodes.select("s", "least").join(near.withColumnRenamed("node", "s"), "s", "left").select("s", "least", label)
+    named = named.join(far.withColumnRenamed("node", "label"), "label", "left").select("s", "least", F.coalesce("root", "label").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    owner = named.join(least, "root").select("s", "component_id")
+    return sets.select("doc_id", "s").join(owner, "s").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without near-duplicates: of each component the document of smallest doc_id stays, once. Rows without doc_id stay."""
+    kept = linked(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    some = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return some.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
