@@ -37,7 +37,7 @@ def sim_counts(spark: SparkSession, sf: str) -> DataFrame:
 def _numbers(spark: SparkSession, sf: str) -> DataFrame:
     c = R.table(spark, sf, "customer").select(F.col("c_custkey").alias("s1"), F.col("c_nationkey").alias("k"), X.normalize(F.col("c_name")).alias("a"))
     s = R.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cand"), F.col("s_nationkey").alias("k"), X.normalize(F.col("s_name")).alias("b"))
-    pairs = c.withColumn("e", F.col("s1") % 100).join(s.withColumn("e", F.col("cand") % 100), ["k", "e"])
+    pairs = c.join(s, "k")
     return pairs.select("s1", "cand", X.first_number(X.tokens(F.col("a"))).alias("x"), X.first_number(X.tokens(F.col("b"))).alias("y"))
 
 

@@ -66,7 +66,7 @@ def txt_addr_key(spark: SparkSession, sf: str) -> DataFrame:
 def _cs(spark: SparkSession, sf: str) -> DataFrame:
     c = R.table(spark, sf, "customer").select(F.col("c_custkey").alias("s1"), F.col("c_nationkey").alias("k"), X.normalize(F.col("c_name")).alias("a"))
     s = R.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cand"), F.col("s_nationkey").alias("k"), X.normalize(F.col("s_name")).alias("b"))
-    return c.withColumn("e", F.col("s1") % 100).join(s.withColumn("e", F.col("cand") % 100), ["k", "e"]).select("s1", "cand", "a", "b")
+    return c.join(s, "k").select("s1", "cand", "a", "b")
 
 
 NUM_SIM = "CASE WHEN x = y THEN 1.0 WHEN abs(len(x) - len(y)) = 1 AND (starts_with(CASE WHEN len(x) < len(y) THEN y ELSE x END, CASE WHEN len(x) < len(y) THEN x ELSE y END) OR ends_with(CASE WHEN len(x) < len(y) THEN y ELSE x END, CASE WHEN len(x) < len(y) THEN x ELSE y END)) THEN 0.8 WHEN abs(len(x) - len(y)) <= 1 AND levenshtein(x, y) <= 1 THEN 0.6 ELSE 0.0 END"

@@ -19,3 +19,10 @@ def test_common_words_find(spark, tmp_path, name, least):
     folder = documents(spark, tmp_path, [(0, "walnut", "s0")] + [(k, "walnut", "s1") for k in range(1, 121)])
     got = catalog.QUERIES[name](spark, folder).collect()
     assert sorted(r["cand"] for r in got) == [2 * 10**10 + k for k in range(1, least + 1)]
+
+
+@pytest.mark.parametrize("name", ["sim_levenshtein", "sim_jaro_winkler", "sim_ratio", "sim_token_set", "sim_partial", "txt_num_sim", "col_neighbour_number"])
+def test_all_pairs_of_a_nation(spark, name):
+    c, s = (spark.read.parquet(f"{FOLDER}/{t}.parquet").collect() for t in ("customer", "supplier"))
+    want = sorted((x["c_custkey"], y["s_suppkey"]) for x in c for y in s if x["c_nationkey"] == y["s_nationkey"])
+    assert sorted((r["s1"], r["cand"]) for r in catalog.QUERIES[name](spark, FOLDER).collect()) == want
