@@ -77,7 +77,7 @@ def l2_pool_counts(spark: SparkSession, sf: str) -> DataFrame:
 SELECT cand, count(*) AS sup_n, CAST(max(p_size) AS BIGINT) AS sup_best, CAST(sum(p_size) AS BIGINT) AS sup_sum FROM j GROUP BY cand""")
 def l2_superset_support(spark: SparkSession, sf: str) -> DataFrame:
     part = R.table(spark, sf, "part")
-    t = part.filter("p_size <= 3").select(F.col("p_partkey").alias("s1"), F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ").alias("words"))
+    t = part.select(F.col("p_partkey").alias("s1"), F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ").alias("words"))
     c = part.select(F.concat(F.get(F.split("p_name", " "), 1), F.lit(" "), F.lower("p_type")).alias("cand")).distinct().select("cand", F.split("cand", " ").alias("words"))
     got = retrieval.superset(t, c).join(part.select(F.col("p_partkey").alias("s1"), "p_size"), "s1")
     return got.groupBy("cand").agg(F.count(F.lit(1)).alias("sup_n"), F.max("p_size").cast("int").alias("sup_best"), F.sum("p_size").alias("sup_sum"))

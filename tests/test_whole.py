@@ -26,3 +26,14 @@ def test_all_pairs_of_a_nation(spark, name):
     c, s = (spark.read.parquet(f"{FOLDER}/{t}.parquet").collect() for t in ("customer", "supplier"))
     want = sorted((x["c_custkey"], y["s_suppkey"]) for x in c for y in s if x["c_nationkey"] == y["s_nationkey"])
     assert sorted((r["s1"], r["cand"]) for r in catalog.QUERIES[name](spark, FOLDER).collect()) == want
+
+
+def test_superset_of_all_parts(spark):
+    part = spark.read.parquet(f"{FOLDER}/part.parquet").collect()
+    sets = [(set(f"{p['p_name']} {p['p_type'].lower()}".split(" ")), p["p_size"]) for p in part]
+    want = []
+    for cand in {f"{p['p_name'].split(' ')[1]} {p['p_type'].lower()}" for p in part}:
+        sizes = [n for ws, n in sets if ws >= set(cand.split(" "))]
+        want.append((cand, len(sizes), max(sizes), sum(sizes)))
+    got = catalog.QUERIES["l2_superset_support"](spark, FOLDER).select("cand", "sup_n", "sup_best", "sup_sum").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
