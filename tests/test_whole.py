@@ -37,3 +37,8 @@ def test_superset_of_all_parts(spark):
         want.append((cand, len(sizes), max(sizes), sum(sizes)))
     got = catalog.QUERIES["l2_superset_support"](spark, FOLDER).select("cand", "sup_n", "sup_best", "sup_sum").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_all_tokens(spark):
+    for r in catalog.QUERIES["txt_tokens"](spark, FOLDER).collect():
+        assert len(r["digits"].split()) + len(r["alpha"].split()) == r["n"]
