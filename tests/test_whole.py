@@ -42,3 +42,12 @@ def test_superset_of_all_parts(spark):
 def test_all_tokens(spark):
     for r in catalog.QUERIES["txt_tokens"](spark, FOLDER).collect():
         assert len(r["digits"].split()) + len(r["alpha"].split()) == r["n"]
+
+
+def test_siblings_whole_address(spark, tmp_path):
+    """Two candidates whose addresses agree in twelve words and differ after them are not alike in all."""
+    name, same = "maple harbor dental clinic north annex building seven", " ".join(f"street{chr(97 + k)}" for k in range(12))
+    ends = (" ".join(f"{p}{chr(97 + k)}" for k in range(12)) for p in ("left", "right"))
+    rows = [(0, f"{name} {same}", "s0"), *((k, f"{name} {same} {e}", "s1") for k, e in enumerate(ends, 1))]
+    got = catalog.QUERIES["col_siblings"](spark, documents(spark, tmp_path, rows)).collect()
+    assert len(got) == 2 and all(r["sib_addr"] < 100 for r in got)
