@@ -8,8 +8,8 @@ Vectors are dealt to blocks by a hash of vec_id, each block with all cells' list
 block with its list of cells; so neither a large cell nor a group of equal vectors lands in one task. Of equal vectors only the
 RANKS + 1 smallest ids can be among any query's results, as ties go to the smaller id: only these are indexed one by one.
 
-Vectors that are null, zero, of another length than the sample's, or hold a null or non-finite component take no part, nor
-does a null vec_id. Of several rows with one vec_id the least vector counts. An empty table gives no rows.
+Vectors of each length are indexed apart, as an inner product needs two of one length. Vectors that are null, zero, or hold a
+null or non-finite component take no part, nor does a null vec_id. Of several rows with one vec_id the least vector counts. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -85,19 +86,23 @@ def exact(queries: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 
 def search(table: DataFrame, every: int = 20, ranks: int = RANKS, centroids: int = CENTROIDS, share: float = SHARE) -> DataFrame:
-    """query_id, rank, vec_id, score of each query (vec_id divisible by every) among all other vectors."""
+    """query_id, rank, vec_id, score of each query (vec_id divisible by every) among all other vectors of its length."""
     spark = table.sparkSession
     common.prepare(spark)
-    schema = "query_id long, rank int, vec_id long, score double"
     points, _ = common.cut(vectors(table), "vectors")
+    lengths = sorted(r["dim"] for r in points.groupBy(F.size("v").alias("dim")).count().collect())
+    if not lengths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    parts = [_search(points.filter(F.size("v") == dim), dim, every, ranks, centroids, share) for dim in lengths]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _search(points: DataFrame, dim: int, every: int, ranks: int, centroids: int, share: float) -> DataFrame:
+    """search among points (vec_id, v) that all have dim components."""
     sample = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
-    if not sample:
-        return spark.createDataFrame([], schema)
-    dim = max(len(v) for v in sample)
-    fitted = np.array([v for v in sample if len(v) == dim])
+    fitted = np.array(sample)
     half = dim // 2
     books = fit(fitted[:, :half], centroids), fit(fitted[:, half:], centroids)
-    points = points.filter(F.size("v") == dim)
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
