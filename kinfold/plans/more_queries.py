@@ -73,7 +73,7 @@ def l2_pool_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.filter("src > 1").join(n, ["country", "name"]).select("code", F.col("a").alias("cand_nn_s1_n"), F.col("e").alias("pool_empty_nn_n"), F.round(F.col("e") / F.greatest("a", F.lit(1)), 6).alias("pool_empty_per_s1"))
 
 
-@query("l2_superset_support", """WITH t AS (SELECT p_partkey AS s1, list_distinct(string_split(p_name || ' ' || lower(p_type), ' ')) AS w, p_size FROM part WHERE p_size <= 3), c AS (SELECT DISTINCT string_split(p_name, ' ')[2] || ' ' || lower(p_type) AS cand FROM part), j AS (SELECT s1, cand, p_size FROM t JOIN c ON list_has_all(w, string_split(cand, ' ')))
+@query("l2_superset_support", """WITH t AS (SELECT p_partkey AS s1, list_distinct(string_split(p_name || ' ' || lower(p_type), ' ')) AS w, p_size FROM part), c AS (SELECT DISTINCT string_split(p_name, ' ')[2] || ' ' || lower(p_type) AS cand FROM part), j AS (SELECT s1, cand, p_size FROM t JOIN c ON list_has_all(w, string_split(cand, ' ')))
 SELECT cand, count(*) AS sup_n, CAST(max(p_size) AS BIGINT) AS sup_best, CAST(sum(p_size) AS BIGINT) AS sup_sum FROM j GROUP BY cand""")
 def l2_superset_support(spark: SparkSession, sf: str) -> DataFrame:
     part = R.table(spark, sf, "part")

@@ -13,8 +13,6 @@ from .registry import PAIRS, REC, TERMS, TRUTH, query, topk
 
 #: Words and character trigrams that more records have than this are no retrieval terms.
 CAP, GRAM_CAP = 2000, 3000
-#: The cap of the SQL, which is tighter and loses pairs that the queries give.
-SQL_CAP = 50
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,8 +34,8 @@ def _names(spark: SparkSession, sf: str) -> DataFrame:
     return R.records(spark, sf).select("code", "country", "src", F.col("nt").alias("terms"))
 
 
-FORWARD = f"{TERMS}, {topk('tm', 'src = 1', 'src > 1', 30, SQL_CAP)}"
-NAMES = f"{REC}, nm AS (SELECT code, country, src, nt AS terms FROM rec), {topk('nm', 'src = 1', 'src > 1', 10, SQL_CAP)}"
+FORWARD = f"{TERMS}, {topk('tm', 'src = 1', 'src > 1', 30, CAP)}"
+NAMES = f"{REC}, nm AS (SELECT code, country, src, nt AS terms FROM rec), {topk('nm', 'src = 1', 'src > 1', 10, CAP)}"
 
 
 @query("jn_idf_topk_fwd", f"WITH {FORWARD} SELECT s1, cand, src, score, rank FROM hits")
@@ -45,7 +43,7 @@ def jn_idf_topk_fwd(spark: SparkSession, sf: str) -> DataFrame:
     return _forward(spark, sf)
 
 
-@query("jn_idf_topk_rev", f"WITH {TERMS}, {topk('tm', 'src > 1', 'src = 1', 3, SQL_CAP)} SELECT cand AS s1, s1 AS cand, s1 // 10000000000 AS src, score, rank FROM hits")
+@query("jn_idf_topk_rev", f"WITH {TERMS}, {topk('tm', 'src > 1', 'src = 1', 3, CAP)} SELECT cand AS s1, s1 AS cand, s1 // 10000000000 AS src, score, rank FROM hits")
 def jn_idf_topk_rev(spark: SparkSession, sf: str) -> DataFrame:
     return _reverse(spark, sf)
 
@@ -56,14 +54,14 @@ def jn_name_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.idf_topk(rows.filter("src = 1"), rows.filter("src > 1"), 10, CAP)
 
 
-@query("jn_char3_topk", f"WITH {REC}, ch AS (SELECT code, country, src, list_distinct(flatten(list_transform(nt, lambda t: list_transform(range(1, len(t) + 1), lambda i: ('#' || t || '#')[i:i + 2])))) AS terms FROM rec), {topk('ch', 'src = 1', 'src > 1', 10, 100)} SELECT s1, cand, src, score, rank FROM hits")
+@query("jn_char3_topk", f"WITH {REC}, ch AS (SELECT code, country, src, list_distinct(flatten(list_transform(nt, lambda t: list_transform(range(1, len(t) + 1), lambda i: ('#' || t || '#')[i:i + 2])))) AS terms FROM rec), {topk('ch', 'src = 1', 'src > 1', 10, GRAM_CAP)} SELECT s1, cand, src, score, rank FROM hits")
 def jn_char3_topk(spark: SparkSession, sf: str) -> DataFrame:
     rows = R.records(spark, sf).select("code", "country", "src", X.trigrams(F.col("nt")).alias("terms"))
     return retrieval.idf_topk(rows.filter("src = 1"), rows.filter("src > 1"), 10, GRAM_CAP)
 
 
 @query("jn_bm25_topk", f"""WITH {REC}, x AS (SELECT DISTINCT code, country, src, unnest(nt) AS term FROM rec), nn AS (SELECT country, src, count(*) AS n FROM rec WHERE src > 1 GROUP BY ALL),
-wt AS (SELECT country, src, term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS w FROM x JOIN nn USING (country, src) GROUP BY country, src, term HAVING count(*) <= {SQL_CAP}),
+wt AS (SELECT country, src, term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS w FROM x JOIN nn USING (country, src) GROUP BY country, src, term HAVING count(*) <= {CAP}),
 p AS (SELECT code AS cand, country, src, term, w FROM x JOIN wt USING (country, src, term)), l AS (SELECT cand, country, src, count(*) AS len FROM p GROUP BY ALL), m AS (SELECT country, src, avg(len) AS mean FROM l GROUP BY ALL),
 d AS (SELECT cand, 2.2 / (1 + 1.2 * (0.25 + 0.75 * len / mean)) AS damp FROM l JOIN m USING (country, src)),
 s AS (SELECT q.code AS s1, p.src AS src, p.cand AS cand, sum(p.w) AS w FROM x q JOIN p ON q.country = p.country AND q.term = p.term WHERE q.src = 1 GROUP BY ALL),
@@ -113,7 +111,7 @@ def _channels(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 
 CHANNELS = f"""{REC}, nm AS (SELECT code, country, src, nt AS terms FROM rec), ch AS (SELECT code, country, src, list_distinct(flatten(list_transform(nt, lambda t: list_transform(range(1, len(t) + 1), lambda i: ('#' || t || '#')[i:i + 2])))) AS terms FROM rec),
-c1 AS (WITH {topk('nm', 'src = 1', 'src > 1', 10, SQL_CAP)} SELECT * FROM hits), c2 AS (WITH {topk('ch', 'src = 1', 'src > 1', 10, 100)} SELECT * FROM hits)"""
+c1 AS (WITH {topk('nm', 'src = 1', 'src > 1', 10, CAP)} SELECT * FROM hits), c2 AS (WITH {topk('ch', 'src = 1', 'src > 1', 10, GRAM_CAP)} SELECT * FROM hits)"""
 
 
 @query("jn_union_channels", f"WITH {CHANNELS} SELECT s1, cand, src, c1.score AS name_score, coalesce(c1.rank, 99) AS name_rank, c2.score AS char_score, coalesce(c2.rank, 99) AS char_rank, CAST(c1.rank IS NOT NULL AS BIGINT) AS in_name, CAST(c2.rank IS NOT NULL AS BIGINT) AS in_char FROM c1 FULL JOIN c2 USING (s1, cand, src)")
@@ -137,8 +135,8 @@ def jn_label_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.labelled(jn_name_topk(spark, sf), R.owners(R.records(spark, sf))).select("s1", "cand", "src", "score", "rank", "label")
 
 
-@query("jn_anchor", f"""WITH {REC}, nm AS (SELECT code, country, src, nt AS terms FROM rec), f AS (WITH {topk('nm', 'src = 1', 'src > 1', 10, SQL_CAP)} SELECT * FROM hits), a AS (SELECT s1, cand AS anchor FROM f WHERE score >= 0.9),
-g AS (WITH {topk('nm', 'src > 1', 'src > 1', 4, SQL_CAP)} SELECT * FROM hits), b AS (SELECT s1 AS anchor, cand, src, score, row_number() OVER (PARTITION BY s1, src ORDER BY score DESC, cand) - 1 AS rk FROM g WHERE s1 <> cand QUALIFY rk < 3)
+@query("jn_anchor", f"""WITH {REC}, nm AS (SELECT code, country, src, nt AS terms FROM rec), f AS (WITH {topk('nm', 'src = 1', 'src > 1', 10, CAP)} SELECT * FROM hits), a AS (SELECT s1, cand AS anchor FROM f WHERE score >= 0.9),
+g AS (WITH {topk('nm', 'src > 1', 'src > 1', 4, CAP)} SELECT * FROM hits), b AS (SELECT s1 AS anchor, cand, src, score, row_number() OVER (PARTITION BY s1, src ORDER BY score DESC, cand) - 1 AS rk FROM g WHERE s1 <> cand QUALIFY rk < 3)
 SELECT s1, cand, src, max(score) AS anc_score, min(rk) AS anc_rank, count(*) AS anc_hits FROM a JOIN b USING (anchor) GROUP BY s1, cand, src""")
 def jn_anchor(spark: SparkSession, sf: str) -> DataFrame:
     rows = _names(spark, sf)

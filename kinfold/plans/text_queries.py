@@ -38,7 +38,7 @@ def txt_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("txt_tokens", f"""WITH {REC}, m AS (SELECT code, {meaningful('list_concat(nt, aw)')} AS ws FROM rec)
-SELECT code, CAST(len(ws) AS BIGINT) AS n, array_to_string(list_filter(ws, lambda w: regexp_full_match(w, '[0-9]+')), ' ') AS digits, array_to_string(list_filter(ws, lambda w: NOT regexp_full_match(w, '[0-9]+'))[1:20], ' ') AS alpha FROM m""")
+SELECT code, CAST(len(ws) AS BIGINT) AS n, array_to_string(list_filter(ws, lambda w: regexp_full_match(w, '[0-9]+')), ' ') AS digits, array_to_string(list_filter(ws, lambda w: NOT regexp_full_match(w, '[0-9]+')), ' ') AS alpha FROM m""")
 def txt_tokens(spark: SparkSession, sf: str) -> DataFrame:
     rows = R.records(spark, sf).select("code", X.meaningful(F.concat("nt", "at")).alias("ws"))
     return rows.select("code", F.size("ws").alias("n"), F.array_join(X.numeric(F.col("ws")), " ").alias("digits"), F.array_join(X.alphabetic(F.col("ws")), " ").alias("alpha"))
