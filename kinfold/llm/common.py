@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import math
 import os
 import tempfile
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 TASK_BYTES = 16 << 20
 BATCH_BYTES = 2 << 20
 BATCH_ROWS = 4096
+#: A key with more than LEAST rows and over 1 / HOT of all rows is joined by broadcast.
+LEAST, HOT = 200, 4096
 
 _shipped: set[str] = set()
 _roots: dict[str, str] = {}
@@ -78,22 +81,37 @@ def cut(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """The plan's size estimate, which for files is their size; None where there is none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else None
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files and tables that df reads, each as often as it is read. A join's estimate is a product of its sides, a
+    sum over the plan's leaves is not. Where a leaf has no known size, one aggregate measures the rows themselves."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    if all(n < 1 << 60 for n in sizes):
+        return sum(sizes)
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    width = functools.reduce(lambda a, b: a + b, texts, F.lit(8 * len(df.columns)))
+    return int(df.agg(F.sum(width.cast("long"))).first()[0] or 0)
 
 
 def task_count(df: DataFrame, bytes_per_task: int = TASK_BYTES) -> int:
     """Partitions for a shuffle of df: the session's number, or more where the input is large for it."""
-    size = input_bytes(df) or 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bytes_per_task))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(input_bytes(df) / bytes_per_task))
 
 
 def piece_count(df: DataFrame, bytes_per_piece: int) -> int:
-    """Groups of rows that follow the size of df alone."""
-    size = input_bytes(df)
-    return max(8, math.ceil(size / bytes_per_piece)) if size is not None else 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Groups of rows that follow the bytes that df reads alone."""
+    return max(8, math.ceil(input_bytes(df) / bytes_per_piece))
+
+
+def spread_join(rows: DataFrame, found: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows joined with found (one row a key; n: how many of rows have the key) without a task that holds one key's rows. A key is
+    hot if it has over 1 / HOT of all rows, so there are fewer than HOT of them, and these are broadcast; the others are shuffled.
+    rows and found are read more than once, so they should be tables or cheap."""
+    total = found.agg(F.sum(n).alias("_total"))
+    hot = found.crossJoin(F.broadcast(total)).filter((F.col(n) > LEAST) & (F.col(n) * HOT > F.col("_total"))).drop("_total", n)
+    few = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(found.drop(n), key)
+    return few.unionByName(rest)
 
 
 def text_of(column: str = "text") -> Column:

@@ -21,12 +21,16 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.union(now.select("b", "a"))
-        near = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(near, "a").filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
+        near, near_path = common.cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "near")
+        large = common.spread_join(both, near, "a").filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        mid, mid_path = common.cut(large, "large")
+        # each node now has only smaller neighbours; nodes with many of them are roots to be, whose edges point to them
+        least = mid.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        held, held_path = common.cut(least, "least")
+        small = common.spread_join(mid, held, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(held.select("a", "m")).distinct()
         after, there = common.cut(small, "edges")
-        common.remove(spark, path)
+        for old in (path, near_path, mid_path, held_path):
+            common.remove(spark, old)
         changed = _state(after)
         now, path = after, there
         if changed == state:

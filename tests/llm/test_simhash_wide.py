@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from kinfold.llm import common, resemblance
+from kinfold.llm import common, simhash_wide
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -59,11 +59,11 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("sample", [resemblance.SAMPLE, 20])
+@pytest.mark.parametrize("sample", [simhash_wide.SAMPLE, 20])
 def test_all_pairs(spark, monkeypatch, sample):
-    monkeypatch.setattr(resemblance, "SAMPLE", sample)
+    monkeypatch.setattr(simhash_wide, "SAMPLE", sample)
     rows = corpus()
-    got = resemblance.linked(frame(spark, rows)).collect()
+    got = simhash_wide.linked(frame(spark, rows)).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((d, o) for (d, _), o in zip(rows, owners(rows), strict=True))
 
 
@@ -88,8 +88,13 @@ def test_stage_drops_near_copies(spark):
 
 
 def test_empty_and_null(spark):
-    assert resemblance.keep_one(frame(spark, [])).count() == 0
-    assert resemblance.keep_one(frame(spark, [(None, "a b"), (None, "a b"), (2, "a b"), (5, "a b")])).count() == 3
+    assert simhash_wide.keep_one(frame(spark, [])).count() == 0
+    assert simhash_wide.keep_one(frame(spark, [(None, "a b"), (None, "a b"), (2, "a b"), (5, "a b")])).select("doc_id").collect() == [(2,)]
+    nameless = [r["text"] for r in simhash_wide.keep_one(frame(spark, [(None, "a b"), (None, "a b"), (None, "c d")])).collect()]
+    assert sorted(nameless) == ["a b", "c d"]
+    # rows of one id and one text that differ elsewhere, and a copy with another id
+    docs = spark.createDataFrame([(1, "a b", None, "x"), (1, "a b", "x", None), (7, "a b", "y", "y"), (1, None, "a b", "x")], "doc_id long, text string, lang string, _r string")
+    assert sorted(str(r["text"]) for r in simhash_wide.keep_one(docs).collect()) == ["None", "a b"]
 
 
 def test_prefix_shares():
@@ -99,11 +104,11 @@ def test_prefix_shares():
         both = np.unique(np.concatenate([r.choice(known, 20, replace=False), r.integers(0, 1 << 63, 60, dtype=np.uint64)]))
         a, b = (np.unique(np.concatenate([both, r.integers(0, 1 << 63, 9, dtype=np.uint64)])) for _ in range(2))
         assert len(both) / (len(a) + len(b) - len(both)) >= 0.8
-        assert set(resemblance.prefix(a, known).tolist()) & set(resemblance.prefix(b, known).tolist())
+        assert set(simhash_wide.prefix(a, known).tolist()) & set(simhash_wide.prefix(b, known).tolist())
 
 
 def test_smallest_tables(spark):
     docs = common.table(spark, "/root/testdata/sf0.001", "documents")
     rows = [(x["doc_id"], x["text"]) for x in docs.collect()]
-    got = {(x["doc_id"], x["component_id"]) for x in resemblance.linked(docs).collect()}
+    got = {(x["doc_id"], x["component_id"]) for x in simhash_wide.linked(docs).collect()}
     assert got == {(d, o) for (d, _), o in zip(rows, owners(rows), strict=True)}
