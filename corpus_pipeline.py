@@ -9,35 +9,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import common, packing, pii, quality, resemblance, substring
+from kinfold.llm import common, packing, pii, quality, simhash_wide, substring
 
 
-def _shaped(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows with the columns of docs, n_chars counted anew."""
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(docs.columns)
+def _bundled(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one, so that no name of theirs meets an operator's own columns."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("kinfold_end")).alias("rest"))
+
+
+def _shaped(rows: DataFrame, docs: DataFrame, changed: bool = True) -> DataFrame:
+    """Bundled rows with the columns of docs; where texts have changed, n_chars is counted anew."""
+
+    def column(c: str):
+        if c == "n_chars" and changed:
+            return F.length("text").cast(docs.schema[c].dataType).alias(c)
+        return F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c)
+
+    return rows.select(*map(column, docs.columns))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on these documents, does not reject."""
-    return quality.kept(docs)
+    return _shaped(quality.kept(_bundled(docs)), docs, changed=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest doc_id, of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
-    return resemblance.keep_one(docs)
+    """One document, that of smallest doc_id, of each group linked by SimHash at a similarity of 0.8 or more of five-word shingles."""
+    return simhash_wide.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the runs of words that a document of smaller doc_id has; a text of which nothing is left goes."""
-    rows = substring.repeats(docs, text="text").filter("n_removed = 0 OR n_removed < n_words")
+    rows = substring.repeats(_bundled(docs), text="text").filter("n_removed = 0 OR n_removed < n_words")
     return _shaped(rows, docs)
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by their kinds in brackets."""
-    rows = pii.with_spans(docs)
+    rows = pii.with_spans(_bundled(docs))
     return _shaped(rows.withColumn("text", pii.redacted(F.col("text"), F.col("_spans"))), docs)
 
 
@@ -48,7 +58,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality_classifier),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
     ("PII", remove_pii),
     ("packing", pack),
