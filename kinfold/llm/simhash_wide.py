@@ -8,9 +8,12 @@ simhash.py then prune the candidates' fingerprints at DISTANCE bits before the f
 is left are intersected before a pair counts as linked. DISTANCE is three and a half standard deviations above the mean at the
 least similarity: of pairs just there about one in 5,000 is missed, of more alike ones fewer.
 
-Texts with the same set are one node. As groups of near copies share most of their rare shingles, sorted neighbours of a shingle
-are checked first; afterwards only nodes of different components are, and those of a shingle's largest component not with each
-other. The components are the same as with all pairs.
+Texts with the same set are one node. As groups of near copies share most of their rare shingles, a shingle's nodes are first
+compared with their neighbours in the order of fingerprints, then with two nodes of the shingle's largest component: these rounds
+are linear. What then still lies in different components is compared under each shingle, but for those of its largest component
+with each other; a join row carries what decides whether a pair is possible, so only pairs at the brink leave the join. The
+components are the same as with all pairs. A group of texts that are alike by less than the similarity costs the square of its
+size in comparisons of fingerprints, not in rows.
 
 Texts are folded and cut like those of simhash.py; one with fewer words than a shingle is one shingle, one without words has the
 empty set, and a null text has no words. A row is known by its doc_id, which may be null or repeated, and a hash of its other
@@ -19,9 +22,11 @@ columns, which may have any names. Rows without doc_id count as larger than all
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +40,8 @@ SHINGLE, SIMILAR, DISTANCE = 5, (4, 5), 20
 #: Documents that show which shingles are common, how many must hold one, and how many shingles are kept.
 SAMPLE, COMMON, KNOWN = 4000, 3, 1 << 18
 NEAR = 4
+#: Longs of a parity sketch, and words of the bitmap by which texts are chosen before a shuffle.
+PARITY, WORDS = 4, 1 << 18
 LAST_ID = (1 << 63) - 1
 
 
@@ -53,6 +60,12 @@ def prefix(found: np.ndarray, known: np.ndarray, similar: tuple[int, int] = SIMI
     return found[:size]
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """One bit a cell of hashes, set where an odd number falls: two sets differ in at least as many shingles as in bits."""
+    odd = np.bincount((found & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _common(docs: DataFrame) -> np.ndarray:
     """Shingles of several distinct sets of a sample, the most frequent ones; a bounded number reaches the driver."""
 
@@ -71,57 +84,112 @@ def _common(docs: DataFrame) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, known: np.ndarray) -> DataFrame:
-    """doc_id, r, s (the set's hash), n (its size), f (the fingerprint) and its prefix, of rows doc_id, r and text."""
+    """doc_id, r, s (the set's hash), n (its size), f (the fingerprint), odd (the parity sketch) and its prefix, of rows doc_id, r and text."""
     handed = rows.sparkSession.sparkContext.broadcast(known)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            s, n, f, first = [], [], [], []
+            s, n, f, odd, first = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 blocks = list(hashed(t, SHINGLE))
                 own = np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
                 s.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 n.append(len(own))
                 f.append(majority(blocks))
+                odd.append(parity(own))
                 first.append(prefix(own, handed.value).view(np.int64))
             marks = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s, f))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), next(marks), pa.array(n, pa.int64()), next(marks), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "r", "s", "n", "f", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), next(marks), pa.array(n, pa.int64()), next(marks), pa.array(odd, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "r", "s", "n", "f", "odd", "prefix"])
+
+    return rows.select("doc_id", "r", common.text_of().alias("text")).mapInArrow(task, "doc_id long, r long, s long, n long, f long, odd array<long>, prefix array<long>")
 
-    return rows.select("doc_id", "r", common.text_of().alias("text")).mapInArrow(task, "doc_id long, r long, s long, n long, f long, prefix array<long>")
+
+def _fits(one: str, two: str):
+    """Whether the sizes and fingerprints of two nodes allow the similarity."""
+    p, q = SIMILAR
+    n = [F.col(f"{x}.n") for x in (one, two)]
+    return (F.least(*n) * q >= F.greatest(*n) * p) & chained(F.col(f"{one}.f"), F.col(f"{two}.f"), DISTANCE)
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    """Candidate pairs of sorted neighbours of one shingle (columns h, n, s), without regard to partition ends."""
+    """Candidate pairs of neighbours of one shingle (columns h, n, s, f), in the order of fingerprints, without regard to partition ends."""
     p, q = SIMILAR
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, n, s = (np.zeros(0, np.int64) for _ in range(3))
+        h, n, s, f = (np.zeros(0, np.int64) for _ in range(4))
         for b in batches:
-            h, n, s = (np.concatenate([x[-NEAR:], b.column(k).to_numpy()]) for k, x in enumerate((h, n, s)))
+            h, n, s, f = (np.concatenate([x[-NEAR:], b.column(k).to_numpy()]) for k, x in enumerate((h, n, s, f)))
             for lag in range(1, min(NEAR, len(h) - 1) + 1):
-                near = (h[lag:] == h[:-lag]) & (s[lag:] != s[:-lag]) & (n[:-lag] * q >= n[lag:] * p)
+                x, y = slice(lag, None), slice(None, -lag)
+                near = (h[x] == h[y]) & (s[x] != s[y]) & (np.minimum(n[x], n[y]) * q >= np.maximum(n[x], n[y]) * p) & (np.bitwise_count((f[x] ^ f[y]).view(np.uint64)) <= DISTANCE)
                 if near.any():
-                    x, y = s[lag:][near], s[:-lag][near]
-                    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                    i, j = s[x][near], s[y][near]
+                    pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    dealt = rows.repartitionByRange(common.task_count(rows), "h", "n", "s").sortWithinPartitions("h", "n", "s")
-    return dealt.mapInArrow(task, "a long, b long").distinct()
+    dealt = rows.repartitionByRange(common.task_count(rows), "h", "f", "s").sortWithinPartitions("h", "f", "s")
+    found = dealt.mapInArrow(task, "a long, b long").distinct()
+    return found.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"))
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs a and b whose fingerprints have a ring of chains within budget and then the whole distance."""
-    one, two = (nodes.select(F.col("s").alias(k), F.col("f").alias(f"f{k}")) for k in ("a", "b"))
-    return pairs.join(two, "b").join(one, "a").filter(chained(F.col("fa"), F.col("fb"), DISTANCE)).select(pairs.columns)
+def _labelled(rows: DataFrame) -> tuple[DataFrame, str]:
+    """Of rows (h, n, s, f, deg, label): those whose shingle has several labels, with the shingle's largest label as main."""
+    sizes = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("h").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).getField("label").alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    held, path = common.cut(mixed.select(F.col("h"), "main", F.col("n").alias("k")), "mixed")
+    return common.spread_join(rows, held, "h", "k"), path
+
+
+def _stars(rows: DataFrame, order) -> tuple[DataFrame, list[str]]:
+    """Candidate pairs of each node with one node of its shingle's largest label, the one that comes last in order. One pair a row."""
+    open_, path = _labelled(rows)
+    central = open_.filter("label = main").groupBy("h").agg(F.max(F.struct(order.alias("o"), "s", "n", "f")).alias("c"))
+    sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    centres, there = common.cut(central.join(sizes, "h").select("h", "c.s", "c.n", "c.f", "k"), "centres")
+    met = common.spread_join(open_.filter("label <> main").select("h", F.struct("s", "n", "f").alias("x"), "label", "main"), centres.select("h", F.struct("s", "n", "f").alias("y"), "k"), "h", "k")
+    pairs = met.filter(_fits("x", "y")).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("label").alias("la"), F.col("main").alias("lb")).distinct()
+    return pairs, [path, there]
+
+
+def _crossed(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All candidate pairs of different labels, but those of a shingle's largest label with each other. Parity sketches give a
+    lower bound of the shingles in which two sets differ, so no similar pair fails them."""
+    p, q = SIMILAR
+    found, path = _labelled(rows)
+    open_ = found.join(nodes.select("s", *[F.get("odd", k).alias(f"p{k}") for k in range(PARITY)]), "s")
+    one, two = open_.filter("label <> main").alias("x"), open_.alias("y")
+    other = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.s") < F.col("y.s")))
+    least = functools.reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITY)])
+    both = F.col("x.n") + F.col("y.n")
+    # both - least over both + least is the similarity if only these shingles differ
+    cross = one.join(two, (F.col("x.h") == F.col("y.h")) & other & _fits("x", "y") & ((both - least) * q >= (both + least) * p))
+    return cross.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct(), [path]
+
+
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows without most of those that are not wanted (doc_id, r), so that their texts are not shuffled. A bitmap of hashes, of WORDS
+    longs at most however many are wanted, goes to the driver and back; rows that share a bit with a wanted one stay."""
+    h = F.xxhash64("doc_id", "r")
+    word, bit = h.bitwiseAND(F.lit(WORDS - 1)), F.shiftright(h, 32).bitwiseAND(F.lit(63))
+    got = wanted.select(word.alias("w"), F.expr("shiftleft(1L, CAST(shiftright(xxhash64(doc_id, r), 32) & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = np.zeros(WORDS, np.int64)
+    words[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    handed = rows.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def marked(w: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series((handed.value[w.to_numpy(np.int64)] >> k.to_numpy(np.int64)) & 1 == 1)
+
+    return rows.filter(marked(word, bit))
 
 
 def _checked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, str]:
     """A table, and its path, of the pairs a and b of nodes whose sets are similar."""
     p, q = SIMILAR
     names = pairs.columns
-    pairs, path = common.cut(_possible(pairs, nodes), "pairs")
+    pairs, path = common.cut(pairs, "pairs")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -143,14 +211,15 @@ def _checked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> tuple[DataF
             yield b.filter(pa.array(keep, pa.bool_())).select(names)
 
     members = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    wanted = nodes.join(members, "s").select("s", "least.doc_id", "least.r")
+    wanted, sought = common.cut(nodes.join(members, "s").select("s", "least.doc_id", "least.r"), "wanted")
     # a doc_id may be repeated, and r may be one of two texts
-    found = rows.join(wanted, ["doc_id", "r"]).select("s", common.text_of().alias("text")).mapInArrow(own, "s long, text string")
+    some = _marked(rows, wanted)
+    found = some.join(wanted, ["doc_id", "r"]).select("s", common.text_of().alias("text")).mapInArrow(own, "s long, text string")
     texts, there = common.cut(found.dropDuplicates(["s"]), "texts")
     one, two = (texts.select(F.col("s").alias(k), F.col("text").alias(f"t{k}")) for k in ("a", "b"))
     both = pairs.join(two, "b").join(one, "a").select(*names, "ta", "tb")
     done, made = common.cut(both.mapInArrow(task, ", ".join(f"{c} long" for c in names)), "alike")
-    for old in (path, there):
+    for old in (path, there, sought):
         common.remove(rows.sparkSession, old)
     return done, made
 
@@ -173,31 +242,28 @@ def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     common.prepare(spark)
     rows = _rows(docs)
     sets, sets_path = common.cut(_sets(rows, _common(docs)), "sets")
-    nodes, nodes_path = common.cut(sets.groupBy("s").agg(F.min(F.struct("doc_id", "r")).alias("least"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("f").alias("f")), "nodes")
+    nodes, nodes_path = common.cut(sets.groupBy("s").agg(F.min(F.struct("doc_id", "r")).alias("least"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("f").alias("f"), F.max("odd").alias("odd")), "nodes")
     # one row a node: that of its smallest row
     first = sets.join(nodes.select("s", F.col("least.doc_id").alias("doc_id"), F.col("least.r").alias("r")), ["s", "doc_id", "r"]).dropDuplicates(["s"])
-    posted = first.select(F.explode("prefix").alias("h"), "n", "s")
+    posted = first.select(F.explode("prefix").alias("h"), "n", "s", "f")
     shared = posted.groupBy("h").count().filter("count > 1").select("h")
-    held, held_path = common.cut(posted.join(shared, "h").select("h", "n", "s"), "shared")
-    near_pairs, near_path = _checked(_neighbours(held), nodes, rows)
-    near = components(near_pairs)
-    label = F.coalesce("root", "s").alias("label")
-    keyed, keyed_path = common.cut(held.join(near.withColumnRenamed("node", "s"), "s", "left").select("h", "n", "s", label), "keyed")
-    sizes = keyed.groupBy("h", "label").count()
-    mixed = sizes.groupBy("h").agg(F.max(F.struct("count", "label")).getField("label").alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("h", "main")
-    p, q = SIMILAR
-    open_ = keyed.join(mixed, "h")
-    one, two = open_.filter("label <> main").alias("x"), open_.alias("y")
-    other = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.s") < F.col("y.s"))) & (F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p)
-    cross = one.join(two, (F.col("x.h") == F.col("y.h")) & other)
-    pairs = cross.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
-    links, links_path = _checked(pairs, nodes, rows)
-    far = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    named = nodes.select("s", "least", "k").join(near.withColumnRenamed("node", "s"), "s", "left").select("s", "least", "k", label)
-    rooted, rooted_path = common.cut(named.join(far.withColumnRenamed("node", "label"), "label", "left").select("s", "least", "k", F.coalesce("root", "label").alias("root")), "rooted")
+    held, held_path = common.cut(posted.join(shared, "h").select("h", "n", "s", "f"), "shared")
+    # texts that share no rare shingle are alone; the others carry the label of the component that they are known to be in
+    label, label_path = common.cut(held.groupBy("s").agg(F.count(F.lit(1)).alias("deg")).select("s", "deg", F.col("s").alias("label")), "labels")
+    hash_ = F.xxhash64("s", "h")
+    for k, find in enumerate((lambda _: (_neighbours(held), []), lambda x: _stars(x, F.col("deg")), lambda x: _stars(x, hash_), lambda x: _crossed(x, nodes))):
+        rows_now, rows_path = common.cut(held.join(label, "s"), "keyed") if k else (held, None)
+        pairs, paths = find(rows_now)
+        links, links_path = _checked(pairs, nodes, rows)
+        far = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        after, after_path = common.cut(label.join(far.withColumnRenamed("node", "label"), "label", "left").select("s", "deg", F.coalesce("root", "label").alias("label")), "labels")
+        for old in (label_path, links_path, *paths, *([rows_path] if rows_path else [])):
+            common.remove(spark, old)
+        label, label_path = after, after_path
+    rooted, rooted_path = common.cut(nodes.select("s", "least", "k").join(label, "s", "left").select("s", "least", "k", F.coalesce("label", "s").alias("root")), "rooted")
     owners, owners_path = common.cut(rooted.groupBy("root").agg(F.min("least").alias("owner"), F.count(F.lit(1)).alias("n")), "owners")
     owner, owner_path = common.cut(common.spread_join(rooted, owners, "root").select("s", "owner", F.col("k").alias("n")), "owner")
-    for old in (nodes_path, held_path, near_path, keyed_path, links_path, rooted_path, owners_path):
+    for old in (nodes_path, held_path, label_path, rooted_path, owners_path):
         common.remove(spark, old)
     return common.spread_join(sets.select("doc_id", "r", "s"), owner, "s").select("doc_id", "r", "owner"), [sets_path, owner_path]
 
