@@ -3,10 +3,13 @@
 Every task packs the documents it reads, in their order, without a shuffle: whole windows are cut from a long document
 first, and what is left of it goes to the fill level that keeps the sum of squared counts of partly filled windows least. A
 level array holds those counts. When a task's documents end, pieces of the least filled windows are cut to fill the others,
-so that a task leaves one partly filled window at most.
+so that a task leaves one partly filled window at most. Until then a task holds the ids of its open windows, which are a part of
+those of the rows that it reads, so its memory is bounded by the size of an input split.
 
 Nulls: a null text is empty, so its document is the end id alone; a null doc_id is kept. Repeated rows are packed as often
-as they come. sequence_id is the task's number times 2^32 plus the window's number there. An empty table gives no rows.
+as they come, equal lengths go to the fullest of equally good levels. A very long text is cut into whole windows first. Other
+columns are not read, so they may have any names. sequence_id is the task's number times 2^32 plus the window's number there. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common, segments
 
 WINDOW, END_ID = 1024, 0
-#: Partly filled windows that a task holds at most before it fills them up from each other.
-OPEN = 65_536
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -62,9 +63,6 @@ class Packer:
         change[1:][levels[1 : size - n + 1] == 0] = 1 << 60
         return size - n - int(change[::-1].argmin())
 
-    def held(self) -> int:
-        return int(self.levels.sum())
-
     def finish(self) -> None:
         """Fill the fullest open windows with cut pieces of the least filled ones."""
         windows = [w for fill in sorted(self.open, reverse=True) for w in self.open[fill]]
@@ -135,8 +133,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, wi
                     packer.place(((doc, len(ids)), whole, ids[whole:].copy()))
                 if len(packer.closed) >= 2_000:
                     yield from rows()
-            if packer.held() > OPEN:
-                packer.finish()
             yield from rows()
         packer.finish()
         yield from rows()
