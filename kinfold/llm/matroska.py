@@ -4,7 +4,10 @@ demux() walks the elements of a file by their variable-length ids and sizes (unk
 track, timestamp in nanoseconds, byte range, key flag and cluster, for blocks without lacing and with Xiph, fixed-size and EBML
 lacing. mux() writes frames of 8-bit samples at 8 kHz into such a file with one audio track. Equal payloads give equal files.
 
-Nulls: a null text is empty, its payload one padded unit; a null media value has no packets. An empty table gives no rows.
+Nulls: a null text is empty, its payload one padded unit; a null media value has no packets; a null key is kept. Repeated rows
+and equal texts give equal values, row by row. A file is built and read in one piece, so a row takes a few times its text's bytes
+of memory; batches are bounded by bytes. Other columns are not read, so they may have any names. A corrupt file gives an error in
+its row and stops nothing. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -118,17 +121,26 @@ def laces(data, at: int, end: int, kind: int) -> list[tuple[int, int]]:
 def demux(data: bytes) -> Media:
     media, scale, cluster_time, segment, track, cue, frame_ns = Media(), 1_000_000, 0, 0, 0, [0, 0, 0], {}
     ends: list[tuple[int, int]] = []  # (element, its end or -1)
+    group, refers = 0, False  # the first packet of the open block group, and whether it refers to another block
+
+    def close(code: int) -> None:
+        if code == CUE:
+            media.cues.append(tuple(cue))
+        elif code == GROUP:
+            for packet in media.packets[group:]:
+                packet.key = not refers
+
     at = 0
     while at < len(data):
         while ends and ends[-1][1] == at:
-            code = ends.pop()[0]
-            if code == CUE:
-                media.cues.append(tuple(cue))
+            close(ends.pop()[0])
         place = at
         code, at = vint(data, at, True)
         size, at = vint(data, at, False)
         while ends and ends[-1][1] < 0 and (code in TOP if ends[-1][0] == CLUSTER else code in (SEGMENT, EBML)):
             ends.pop()
+        if ends and 0 <= ends[-1][1] < at:
+            raise ValueError(f"element {code:x} at {place} crosses the end of the one around it")
         end = at + size if size >= 0 else -1
         if end > len(data):
             raise ValueError(f"element {code:x} at {place} ends behind the file")
@@ -137,6 +149,8 @@ def demux(data: bytes) -> Media:
         elif code == CLUSTER:
             media.clusters += 1
             cluster_place = place
+        elif code == GROUP:
+            group, refers = len(media.packets), False
         if code in MASTERS:
             if size:
                 ends.append((code, end))
@@ -169,12 +183,11 @@ def demux(data: bytes) -> Media:
             begin = (cluster_time + relative) * scale
             for k, (a, n) in enumerate(laces(data, inner + 3, end, kind)):
                 media.packets.append(Packet(own, begin + k * frame_ns.get(own, 0), a, n, bool(flags & 128) or code == BLOCK, cluster_place, ("none", "xiph", "fixed", "ebml")[kind]))
-        elif code == REFERENCE and media.packets:  # the block before refers to another: no key frame
-            media.packets[-1].key = False
+        elif code == REFERENCE:  # before or behind its block
+            refers = True
         at = end
     while ends:
-        if ends.pop()[0] == CUE:
-            media.cues.append(tuple(cue))
+        close(ends.pop()[0])
     return media
 
 
@@ -222,7 +235,8 @@ def mux(payload: bytes, unit: int = UNIT, rate: int = RATE) -> bytes:
 
 
 def packets(media: DataFrame, key: str = "media_id", column: str = "media") -> DataFrame:
-    """One row per frame of the files in a binary column."""
+    """One row per frame of the files in a binary column. A value that is no sound file has one row instead, whose error says why
+    and whose other columns are null."""
     common.prepare(media.sparkSession)
     names = ["track", "timestamp_ns", "offset", "length", "key", "cluster", "lacing"]
 
@@ -230,12 +244,17 @@ def packets(media: DataFrame, key: str = "media_id", column: str = "media") -> D
         kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.string()]
         for b in batches:
             for k, data in enumerate(b.column(1).to_pylist()):
-                rows = demux(data).packets if data is not None else []
-                if rows:
-                    ids = pa.concat_arrays([b.column(0).slice(k, 1)] * len(rows))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([getattr(p, n) for p in rows], t) for n, t in zip(names, kinds, strict=True))], ["id", *names])
-
-    return media.select(key, column).mapInArrow(task, f"id {dict(media.dtypes)[key]}, track long, timestamp_ns long, offset long, length long, key boolean, cluster long, lacing string")
+                rows, error = [], None
+                try:
+                    rows = demux(data).packets if data is not None else []
+                except (ValueError, IndexError, struct.error) as e:  # what demux raises on bytes that are no sound file
+                    rows, error = [Packet(*[None] * len(names))], f"{type(e).__name__}: {e}"
+                for j in range(0, len(rows), common.BATCH_ROWS):
+                    some = rows[j : j + common.BATCH_ROWS]
+                    ids = b.column(0).take(pa.array([k] * len(some)))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([getattr(p, n) for p in some], t) for n, t in zip(names, kinds, strict=True)), pa.array([error] * len(some), pa.string())], ["id", *names, "error"])
+
+    return media.select(key, column).mapInArrow(task, f"id {dict(media.dtypes)[key]}, track long, timestamp_ns long, offset long, length long, key boolean, cluster long, lacing string, error string")
 
 
 def feature(media: Media) -> str:
