@@ -1,7 +1,8 @@
 r"""Chat formatting: typed content parts, one template, a loss mask, and the way back.
 
 A visitor flattens a message's parts in order: text is escaped, an image, audio or document part becomes a numbered placeholder
-and is recorded as an attachment with its reference and the number of tokens that it expands to. Turns are written one row
+and is recorded as an attachment with its reference and the number of tokens that it expands to; a part of another type becomes
+a placeholder that expands to none. Turns are written one row
 each, in order; a conversation is never held as a whole, so one of any length takes one batch of memory. Its digests are sums
 over its turns in order, so one conversation stays in one task's stream.
 
@@ -9,7 +10,9 @@ A turn is <|im_start|>role, a line feed, the content, <|im_end|> and a line feed
 <| becomes <\|, in roles a line feed becomes \n, so no text can hold a control string and every text comes back as it was.
 
 Nulls: a null text or role is empty; a null conv_id is a conversation of its own; null turns come first. Equal turns are ordered
-by role and text, repeated rows are kept. An empty table gives no conversation.
+by role and text, repeated rows are kept. Other columns are not read, so they may have any names. A text of any length is formatted
+in one piece. An empty table gives no conversation. One conversation of very many turns is one task's stream, as its digests are
+sequential: it takes time in proportion to its turns, and no more memory than any other.
 """
 
 from __future__ import annotations
@@ -33,12 +36,14 @@ PATCH, PER_SECOND, PER_PAGE = 28, 25, 256
 PART = "struct<type: string, text: string, ref: string, width: long, height: long, seconds: double, pages: long>"
 ATTACHMENT = "struct<place: long, type: string, ref: string, tokens: long>"
 TURN = re.compile(re.escape(START) + r"(?P<role>[^\n]*)\n(?P<content>.*)" + re.escape(END) + r"\n", re.S)
-CONTROL = re.compile(r"<\|(image|audio|document)_(\d+)\|>")
+CONTROL = re.compile(r"<\|(image|audio|document|other)_(\d+)\|>")
 _escape = re.compile(r"\\(.)", re.S)
 
 
-def escaped(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("<|", "<\\|")
+def escaped(text: str, before: str = "") -> str:
+    """text as it stands behind the escaped content before: no <| may arise where the two meet either."""
+    out = text.replace("\\", "\\\\").replace("<|", "<\\|")
+    return "\\" + out if before.endswith("<") and out.startswith("|") else out
 
 
 def unescaped(text: str) -> str:
@@ -55,14 +60,10 @@ class Visitor:
         self.content, self.texts, self.attachments = "", [], []
 
     def visit(self, part: dict) -> None:
-        kind = part.get("type") or "text"
-        method = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"no content part is a {kind}")
-        method(part)
+        getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
-        text = escaped(part.get("text") or "")
+        text = escaped(part.get("text") or "", self.content)
         if text:
             self.texts.append((len(self.content), len(self.content) + len(text)))
             self.content += text
@@ -76,9 +77,13 @@ class Visitor:
     def visit_document(self, part: dict) -> None:
         self.attach(part, PER_PAGE * (part.get("pages") or 1))
 
-    def attach(self, part: dict, tokens: int) -> None:
+    def visit_other(self, part: dict) -> None:
+        """A part of an unknown type is kept in its place and expands to no token."""
+        self.attach(part, 0, "other")
+
+    def attach(self, part: dict, tokens: int, name: str | None = None) -> None:
         self.attachments.append({"place": self.seen, "type": part["type"], "ref": part.get("ref"), "tokens": tokens})
-        self.content += f"<|{part['type']}_{self.seen}|>"
+        self.content += f"<|{name or part['type']}_{self.seen}|>"
         self.seen += 1
 
 
