@@ -83,6 +83,32 @@ def test_gadgets():
             assert automaton.encode("".join(letters).encode()) == [vocabulary[t] for t in word]
 
 
+def test_random_merges():
+    """Random merge lists, also with merges that can never occur, against merging by rank."""
+    r = random.Random(8)
+    for _ in range(60):
+        made = list("abc")
+        merges, vocabulary = [], {t: i for i, t in enumerate(made)}
+        for _ in range(r.randrange(1, 14)):
+            a, b = r.choice(made), r.choice(made)
+            if a + b not in vocabulary and len(a + b) < 9:
+                merges.append((a, b))
+                vocabulary[a + b] = len(vocabulary)
+                made.append(a + b)
+        automaton = bpe_automaton.Automaton(vocabulary, merges)
+        for _ in range(150):
+            word = [r.choice("abc") for _ in range(r.randrange(1, 14))]
+            whole = "".join(word)
+            for a, b in merges:
+                k = 0
+                while k + 1 < len(word):
+                    if (word[k], word[k + 1]) == (a, b):
+                        word[k : k + 2] = [a + b]
+                    k += 1
+            assert automaton.encode(whole.encode()) == [vocabulary[t] for t in word], (merges, whole)
+            assert automaton.decode([vocabulary[t] for t in word]) == whole.encode()
+
+
 def test_token_files(spark, rows, tmp_path):
     manifest = token_files.write(frame(spark, rows), f"file://{tmp_path}/ids")
     got = sorted(token_files.read(manifest).collect(), key=lambda r: r["start"])
