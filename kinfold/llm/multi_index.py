@@ -1,15 +1,22 @@
 """Approximate nearest neighbours by largest inner product with an inverted multi-index.
 
-Vectors are cut into two halves and each half is quantised by its own centroids, so a pair of centroids is a cell. A query
-walks the pairs in the order of their summed distances with a heap until the cells hold a given share of all vectors; what they
-hold is reranked by the exact inner product. Centroids are fitted on a bounded sample, every vector is indexed.
+Vectors are cut into two halves and each half is quantised by its own centroids, so a pair of centroids is a cell. Nearness being
+the inner product, a query's distance from a centroid is the negative product of the two. It walks the pairs in the order of their
+summed distances with a heap until the cells hold a given share of all vectors; what they hold is reranked by the exact inner
+product. Centroids are fitted on a bounded sample, every vector is indexed.
 
-Vectors are dealt to blocks by a hash of vec_id, each block with all cells' lists for its vectors, and every query visits each
-block with its list of cells; so neither a large cell nor a group of equal vectors lands in one task. Of equal vectors only the
-RANKS + 1 smallest ids can be among any query's results, as ties go to the smaller id: only these are indexed one by one.
+The share follows from the data: it is the least that finds TARGET of the nearest neighbours of sampled queries in the sample.
+Among more vectors the nearest lie further out, so their cells come earlier and the share finds more. Vectors in clusters need
+a small share; without any structure most vectors have to be looked at, by any index.
+
+Cells follow each other in blocks of about BLOCK vectors; a large cell spans several, its vectors dealt by a hash of vec_id. A
+query goes to the blocks that hold cells it probes, and to no other. So neither a large cell nor a group of equal vectors lands in
+one task. Of equal vectors only the RANKS + 1 smallest ids can be among any query's results, as ties go to the smaller id: only
+these are indexed one by one.
 
 Vectors of each length are indexed apart, as an inner product needs two of one length. Vectors that are null, zero, or hold a
-null or non-finite component take no part, nor does a null vec_id. Of several rows with one vec_id the least vector counts. An empty table gives no rows.
+null or non-finite component take no part, nor does a null vec_id. Of several rows with one vec_id the least vector counts. Only
+the two columns named are read, so others may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +35,10 @@ from pyspark.sql import window as W
 from . import common
 
 RANKS = 20
-#: Vectors that the centroids are fitted on at most, centroids a half, and the share of all vectors that a query's cells hold.
-SAMPLE, CENTROIDS, SHARE = 20_000, 16, 0.7
-BLOCK, QUERIES = 8192, 256
+#: Vectors and components that the centroids are fitted on at most, centroids a half, sampled queries and what they must find.
+SAMPLE, NUMBERS, CENTROIDS, ASKED, TARGET = 20_000, 1 << 22, 32, 512, 0.95
+#: Vectors of a block, queries that meet one at once, and queries of a task.
+BLOCK, QUERIES, SHARED = 16_384, 256, 16_384
 
 
 def vectors(table: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -85,28 +93,53 @@ def exact(queries: np.ndarray, found: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(table: DataFrame, every: int = 20, ranks: int = RANKS, centroids: int = CENTROIDS, share: float = SHARE) -> DataFrame:
-    """query_id, rank, vec_id, score of each query (vec_id divisible by every) among all other vectors of its length."""
+def fitted_share(points: np.ndarray, books: tuple[np.ndarray, np.ndarray], ranks: int, target: float) -> float:
+    """The least share of points, in the order of their cells, that holds target of the nearest neighbours of some of them."""
+    if len(points) <= ranks + 1:
+        return 1.0
+    half = books[0].shape[1]
+    cell = nearest(points[:, :half], books[0]) * len(books[1]) + nearest(points[:, half:], books[1])
+    counts = np.bincount(cell, minlength=len(books[0]) * len(books[1]))
+    asked, held = points[:ASKED], []
+    for k in range(0, len(asked), 32):
+        q = asked[k : k + 32]
+        scores = q @ points.T
+        scores[np.arange(len(q)), np.arange(k, k + len(q))] = -np.inf
+        best = np.argpartition(-scores, ranks, axis=1)[:, :ranks]
+        far = -((q[:, :half] @ books[0].T)[:, :, None] + (q[:, half:] @ books[1].T)[:, None, :]).reshape(len(q), -1)
+        order = np.argsort(far, axis=1, kind="stable")
+        sums = np.cumsum(counts[order], axis=1)
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
+        held.append(np.take_along_axis(sums, np.take_along_axis(place, cell[best], axis=1), axis=1).ravel())
+    return min(1.0, float(np.quantile(np.concatenate(held), target, method="higher")) / len(points))
+
+
+def search(table: DataFrame, every: int = 20, ranks: int = RANKS, centroids: int = CENTROIDS, target: float = TARGET, share: float | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of each query (vec_id divisible by every) among all other vectors of its length. share: if
+    given, the share of vectors that a query looks at instead of the fitted one."""
     spark = table.sparkSession
     common.prepare(spark)
     points, _ = common.cut(vectors(table), "vectors")
     lengths = sorted(r["dim"] for r in points.groupBy(F.size("v").alias("dim")).count().collect())
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    parts = [_search(points.filter(F.size("v") == dim), dim, every, ranks, centroids, share) for dim in lengths]
+    parts = [_search(points.filter(F.size("v") == dim), dim, every, ranks, centroids, target, share) for dim in lengths]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _search(points: DataFrame, dim: int, every: int, ranks: int, centroids: int, share: float) -> DataFrame:
+def _search(points: DataFrame, dim: int, every: int, ranks: int, centroids: int, target: float, share: float | None) -> DataFrame:
     """search among points (vec_id, v) that all have dim components."""
-    sample = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
-    fitted = np.array(sample)
-    half = dim // 2
-    books = fit(fitted[:, :half], centroids), fit(fitted[:, half:], centroids)
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
+    sample = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(256, min(SAMPLE, NUMBERS // dim))).select("v").toArrow()
+    fitted = matrix(sample.column("v").combine_chunks())
+    half = dim // 2
+    books = fit(fitted[:, :half], centroids), fit(fitted[:, half:], centroids)
+    share = fitted_share(fitted, books, ranks, target) if share is None else share
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = matrix(b.column(1))
@@ -119,16 +152,31 @@ def _search(points: DataFrame, dim: int, every: int, ranks: int, centroids: int,
     counts = np.zeros(len(books[0]) * len(books[1]), np.int64)
     for row in index.groupBy("cell").count().collect():  # at most one row a cell
         counts[row["cell"]] = row["count"]
+    before = np.cumsum(counts) - counts  # the place of each cell's first vector
     total = int(counts.sum())
-    blocks, wanted = max(1, math.ceil(total / BLOCK)), math.ceil(share * total)
+    wanted = math.ceil(share * total)
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, inside = b.column(2).to_numpy(), b.column(3).to_numpy()
+            at = before[cell] + (inside * counts[cell]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(at // BLOCK)], ["vec_id", "v", "cell", "block"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = matrix(b.column(1))
-            first = ((v[:, None, :half] - books[0]) ** 2).sum(2)
-            second = ((v[:, None, half:] - books[1]) ** 2).sum(2)
-            cells = [walk(x, y, counts, wanted) for x, y in zip(first, second, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int64()))], ["query_id", "q", "cells"])
+            first, second = -(v[:, :half] @ books[0].T), -(v[:, half:] @ books[1].T)
+            who, blocks, lists = [], [], []
+            for k in range(len(v)):
+                by: dict[int, list[int]] = {}
+                for c in walk(first[k], second[k], counts, wanted):
+                    for at in range(before[c] // BLOCK, (before[c] + counts[c] - 1) // BLOCK + 1):
+                        by.setdefault(int(at), []).append(c)
+                who += [k] * len(by)
+                blocks += by
+                lists += by.values()
+            some = b.take(pa.array(who, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(lists, pa.list_(pa.int64())), pa.array(blocks, pa.int64())], ["query_id", "q", "cells", "block"])
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[np.ndarray] = []
@@ -160,12 +208,12 @@ def _search(points: DataFrame, dim: int, every: int, ranks: int, centroids: int,
         rows = np.concatenate(out) if out else np.rec.fromarrays([np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], names="q,v,s")
         return pa.table({"query_id": pa.array(rows["q"], pa.int64()), "vec_id": pa.array(rows["v"], pa.int64()), "score": pa.array(rows["s"], pa.float64())})
 
-    queries = points.filter(F.col("vec_id") % every == 0).mapInArrow(probe, "query_id long, q array<double>, cells array<long>")
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    # a block's queries are dealt on, so that a task never holds them all
-    shares = max(1, math.ceil(total / every / (16 * QUERIES)))
+    asked = points.filter(F.col("vec_id") % every == 0).mapInArrow(probe, "query_id long, q array<double>, cells array<long>, block long")
+    # the queries of a block are dealt on, so that a task never holds them all
+    shares = max(1, math.ceil(total / every / SHARED))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(shares)))
-    held = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    inside = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / float(1 << 30)
+    held = index.withColumn("inside", inside).mapInArrow(block, "vec_id long, v array<double>, cell long, block long").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
     found = held.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(rerank, "query_id long, vec_id long, score double")
     by = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= ranks).select("query_id", "rank", "vec_id", "score")
