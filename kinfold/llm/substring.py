@@ -3,19 +3,27 @@
 A window is a run of words of one document, known by a rolling polynomial hash. A window that also starts in a document of
 smaller doc_id is repeated; every word that a repeated window covers goes. Windows are judged on the input.
 
-Documents are dealt in chunks that are ranges of doc_id, so that of two chunks the one with the smaller number holds the
-smaller ids. Each chunk sends each of its hashes once, sorted and as differences, to the bucket of its leading bits. A bucket
-answers each chunk with one bit a hash: whether a chunk with a smaller number has it too. Inside a chunk the first document
-that has a hash is known there. A hash thus costs six bytes a chunk, however often a chunk repeats it, and no group of equal
-windows meets in one task. Two different windows share a 62-bit hash with a chance of 2^-62.
+Documents are dealt in chunks that are ranges of doc_id, so that of two chunks the one of the smaller rank holds the smaller ids;
+a doc_id of very many rows, null among them, has several chunks of one rank. Each chunk sends each of its hashes once, sorted
+and as differences, to the bucket of its leading bits. A bucket counts in which chunks a hash is and answers each chunk with one
+bit a hash: whether a chunk of a smaller rank has it too. Inside a chunk the first document that has a hash is known there. A
+hash thus costs eight bytes a chunk, however often a chunk repeats it, and no group of equal windows meets in one task. Chunks
+and buckets have a fixed size, so there is a message for each pair of them, but never more than one for a chunk's hash.
+
+A window is known by Rabin-Karp hashes of 78 bits modulo three primes, over word hashes in which each byte counts by a value of
+its own at each place. Two different windows agree in all with a chance of about 2^-78: among the 10^13 windows of 100 TB some
+hundred pairs are to be expected that do, at 30 GB none.
 
 Nulls: a null text has no words; a null doc_id counts as larger than all others. Rows of equal doc_id do not remove each
-other's words. Texts of fewer words than a window keep all. An empty table gives an empty result. Other columns pass through.
+other's words, so of equal rows none is touched. Texts of fewer words than a window keep all. A chunk holds its texts, so a
+very long text is a chunk of its own. An empty table gives an empty result. Other columns pass through, but for those that have
+the names of added ones, which are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -29,16 +37,31 @@ from .words import Words
 
 WINDOW, BITS = 13, 62
 LAST_ID = (1 << 63) - 1
-#: Input bytes of a chunk; chunks times buckets messages are sent, so it should grow with very large inputs.
-CHUNK_BYTES = 2 << 20
+#: Input bytes of a chunk and of a bucket's windows.
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
 #: Quantiles of doc_id that are asked for at most.
 CUTS = 2000
-ADDED = "_chunk"
+#: A chunk's number is its rank times SUBS plus its place among those of its rank.
+ADDED, SUBS = "kinfold_chunk", 1 << 20
+
+
+def grouped(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order, stable for equal hashes (key and check), and where in it a new hash begins."""
+    order = np.argsort(keys, kind="stable")
+    k, c = keys[order], checks[order]
+    same = k[1:] == k[:-1]
+    if (same & (c[1:] != c[:-1])).any():
+        order = np.lexsort((checks, keys))
+        k, c = keys[order], checks[order]
+        same = k[1:] == k[:-1]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = ~same | (c[1:] != c[:-1])
+    return order, fresh
 
 
 class Chunk:
-    """The documents of one chunk by doc_id, with their windows: at the first words, inverse their places in hashes (sorted,
-    each once), owner the smallest doc_id here for each hash."""
+    """The documents of one chunk by doc_id, with their windows: at the first words, inverse their places in hashes and checks
+    (sorted, each once), owner the smallest doc_id here for each hash."""
 
     def __init__(self, table: pa.Table, window: int):
         ids = table.column("doc_id").fill_null(LAST_ID).combine_chunks()
@@ -47,50 +70,57 @@ class Chunk:
         self.ids = self.table.column("doc_id").fill_null(LAST_ID).to_numpy()
         text = self.table.column("text").combine_chunks()
         self.words = Words(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string()))
-        self.at, found = self.words.windows(window)
-        self.hashes, first, self.inverse = np.unique(found >> np.uint64(64 - BITS), return_index=True, return_inverse=True)
-        self.owner = self.ids[self.words.doc[self.at[first]]] if len(first) else np.zeros(0, np.int64)
-
-    def bounds(self, buckets: int) -> np.ndarray:
-        """Where each bucket's hashes begin."""
-        edges = [((k << BITS) + buckets - 1) // buckets for k in range(buckets)]
-        return np.append(np.searchsorted(self.hashes, np.array(edges, np.uint64)), len(self.hashes))
-
-
-def packed(sorted_hashes: np.ndarray) -> bytes:
-    """Differences in as few bytes each as the largest needs; the first byte says how many."""
+        self.at, keys, checks = self.words.windows(window)
+        by, fresh = grouped(keys, checks)
+        self.hashes, self.checks = keys[by[fresh]], checks[by[fresh]]
+        self.inverse = np.empty(len(keys), np.int64)
+        self.inverse[by] = np.cumsum(fresh) - 1
+        self.owner = self.ids[self.words.doc[self.at[by[fresh]]]]
+
+    def buckets(self, shift: int) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that have some of the hashes, and where each one's begin (and the last's end)."""
+        own = self.hashes >> np.uint64(shift)
+        first = np.flatnonzero(np.diff(own, prepend=own[:1] + np.uint64(1)))
+        return own[first].astype(np.int64), np.append(first, len(own))
+
+
+def packed(sorted_hashes: np.ndarray, checks: np.ndarray) -> bytes:
+    """Differences in as few bytes each as the largest needs, behind their width, their number and the first hash; then the checks."""
     steps = np.diff(sorted_hashes, prepend=np.uint64(0))
     first, steps[0] = int(steps[0]), 0
     width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + first.to_bytes(8, "little") + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    body = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return bytes([width]) + len(steps).to_bytes(8, "little") + first.to_bytes(8, "little") + body + checks.astype("<u2").tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    body = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
-    steps = np.zeros((len(body), 8), np.uint8)
-    steps[:, : data[0]] = body
-    return np.cumsum(steps.view("<u8").ravel()) + np.uint64(int.from_bytes(data[1:9], "little"))
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, n * width, 17).reshape(n, width)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(int.from_bytes(data[9:17], "little")), np.frombuffer(data, "<u2", n, 17 + n * width)
 
 
 def dealt(docs: DataFrame, chunks: int) -> DataFrame:
-    """docs with the number of the range of doc_id that each row falls into. Quantiles give up to CUTS ranges, each is cut evenly further."""
+    """docs with the number of the chunk that each row falls into: a range of doc_id between quantiles, of which there are up to
+    CUTS, cut evenly further. A doc_id that several quantiles fall on is a rank of its own, whose rows are dealt to as many chunks."""
     key = F.coalesce("doc_id", F.lit(LAST_ID))
     cuts = min(chunks, CUTS)
     parts = -(-chunks // cuts)
     shares = F.array(*[F.lit(k / cuts) for k in range(cuts + 1)])
     found = docs.agg(F.percentile_approx(key, shares, max(10_000, 20 * cuts)).alias("c")).first()["c"] or [0]
-    edges = np.unique(np.array(found, np.int64))
+    edges, times = np.unique(np.array([-LAST_ID - 1, *found], np.int64), return_counts=True)
 
     @F.pandas_udf("long")
-    def chunk(ids: pd.Series) -> pd.Series:
-        i = ids.to_numpy(np.int64)
-        slot = np.clip(np.searchsorted(edges, i, "right") - 1, 0, len(edges) - 1)
-        low, high = edges[slot], edges[np.minimum(slot + 1, len(edges) - 1)]
-        low, high = low.astype(np.float64), high.astype(np.float64)
+    def chunk(ids: pd.Series, rows: pd.Series) -> pd.Series:
+        i, row = ids.to_numpy(np.int64), rows.to_numpy(np.int64)
+        slot = np.searchsorted(edges, i, "right") - 1
+        low, high = edges[slot].astype(np.float64), np.append(edges, LAST_ID)[slot + 1].astype(np.float64)
         inside = np.clip((i.astype(np.float64) - low) / np.maximum(high - low, 1.0), 0, 1)
-        return pd.Series(slot * parts + np.minimum((inside * parts).astype(np.int64), parts - 1))
+        alone = (i == edges[slot]) & (times[slot] > 1)
+        rank = slot * (parts + 1) + np.where(alone, 0, 1 + np.minimum((inside * parts).astype(np.int64), parts - 1))
+        return pd.Series(rank * SUBS + np.where(alone, row % np.minimum(times[slot] * parts, SUBS), 0))
 
-    return docs.withColumn(ADDED, chunk(key))
+    return docs.withColumn(ADDED, chunk(key, F.monotonically_increasing_id()))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, text: str | None = None) -> DataFrame:
@@ -98,27 +128,28 @@ def repeats(docs: DataFrame, window: int = WINDOW, text: str | None = None) -> D
     kept_sha256 (of the kept words joined by one space). text: if given, that column is the text without the removed intervals
     and takes the place of one of that name; a text that loses nothing stays as it is."""
     common.prepare(docs.sparkSession)
-    chunks = buckets = common.piece_count(docs, CHUNK_BYTES)
-    placed = dealt(docs, chunks)
+    shift = BITS - math.ceil(math.log2(common.piece_count(docs, BUCKET_BYTES)))
+    placed = dealt(docs, common.piece_count(docs, CHUNK_BYTES)).repartition(common.task_count(docs), ADDED)
 
     def send(table: pa.Table) -> pa.Table:
         chunk, number = Chunk(table.select(["doc_id", "text"]), window), table.column(ADDED)[0].as_py()
-        at = chunk.bounds(buckets)
-        some = np.flatnonzero(np.diff(at))
-        return pa.table({"bucket": pa.array(some, pa.int64()), "chunk": pa.array(np.full(len(some), number), pa.int64()), "hashes": pa.array([packed(chunk.hashes[at[b] : at[b + 1]]) for b in some], pa.binary())})
+        some, at = chunk.buckets(shift)
+        lists = [packed(chunk.hashes[a:b], chunk.checks[a:b]) for a, b in zip(at, at[1:])]  # noqa: B905
+        return pa.table({"bucket": pa.array(some, pa.int64()), "chunk": pa.array(np.full(len(some), number), pa.int64()), "hashes": pa.array(lists, pa.binary())})
 
     def judge(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("chunk").to_numpy(), kind="stable")
+        numbers, bucket = table.column("chunk").to_numpy(), table.column("bucket")[0].as_py()
+        order = np.argsort(numbers, kind="stable")
         lists = [unpacked(table.column("hashes")[int(k)].as_py()) for k in order]
-        sizes = np.array([len(x) for x in lists])
-        every = np.concatenate(lists)
-        by = np.argsort(every, kind="stable")  # equal hashes stay in the chunks' order
-        again = np.zeros(len(every), bool)
-        again[by[1:]] = every[by[1:]] == every[by[:-1]]
+        sizes = np.array([len(x) for x, _ in lists])
+        ranks = np.repeat(numbers[order] // SUBS, sizes)
+        by, fresh = grouped(np.concatenate([x for x, _ in lists]), np.concatenate([x for _, x in lists]))  # in the ranks' order where equal
+        least = ranks[by[fresh]][np.cumsum(fresh) - 1]
+        again = np.empty(len(by), bool)
+        again[by] = ranks[by] > least
         ends = np.cumsum(sizes)
-        some = [(int(k), again[e - n : e]) for k, e, n in zip(order, ends, sizes, strict=True)]
-        some = [(k, bits) for k, bits in some if bits.any()]
-        return pa.table({ADDED: pa.array([table.column("chunk")[k].as_py() for k, _ in some], pa.int64()), "bucket": pa.array([table.column("bucket")[k].as_py() for k, _ in some], pa.int64()), "bits": pa.array([np.packbits(x).tobytes() for _, x in some], pa.binary())})
+        some = [(int(numbers[k]), np.packbits(bits).tobytes()) for k, bits in ((k, again[e - n : e]) for k, e, n in zip(order, ends, sizes, strict=True)) if bits.any()]
+        return pa.table({ADDED: pa.array([k for k, _ in some], pa.int64()), "bucket": pa.array([bucket] * len(some), pa.int64()), "bits": pa.array([x for _, x in some], pa.binary())})
 
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "intervals", "kept_sha256")]
     fields = [docs.schema[c] for c in names] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("intervals", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept_sha256", T.StringType())]
@@ -127,10 +158,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, text: str | None = None) -> D
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = Chunk(left, window)
-        words, at = chunk.words, chunk.bounds(buckets)
+        words, (own, at) = chunk.words, chunk.buckets(shift)
         earlier = np.zeros(len(chunk.hashes), bool)
-        for b, bits in zip(right.column("bucket").to_pylist(), right.column("bits").to_pylist(), strict=True):
-            earlier[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[b + 1] - at[b])
+        for k, bits in zip(np.searchsorted(own, right.column("bucket").to_numpy()).tolist(), right.column("bits").to_pylist(), strict=True):
+            earlier[at[k] : at[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[k + 1] - at[k])
         gone = earlier[chunk.inverse] | (chunk.owner[chunk.inverse] < chunk.ids[words.doc[chunk.at]])
         turns = np.zeros(len(words.start) + 1, np.int64)
         np.add.at(turns, chunk.at[gone], 1)

@@ -5,16 +5,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Fixed odd multipliers of the two polynomials (words over bytes, windows over words) modulo 2^64.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-SLICE = 1 << 20
+#: The primes and bases of the window hashes, an odd multiplier that tells words' lengths apart, and one that spreads words.
+PRIMES, BASES = (2147483647, 2147483629, 65521), (1812433253, 1099087573, 40503)
+LENGTH, SPREAD = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
+#: Bytes or words that are worked on at once, and places in a word whose bytes' values are kept in a table.
+SLICE, PLACES = 1 << 20, 64
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def powers(base: int, n: int, prime: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    k = 1
+    while k < n:
+        out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(pow(base, k, prime)) % np.uint64(prime)
+        k *= 2
+    return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -24,17 +28,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of base and of its inverse modulo 2^64, n of each at least; larger ones than a slice's are not kept."""
-    have = _tables.get((base, 0))
-    if have is None or len(have[0]) < n:
-        have = powers(base, max(n, SLICE)), powers(pow(base, -1, 1 << 64), max(n, SLICE))
-        if n <= SLICE:
-            _tables[base, 0] = have
-    return have
+def _table(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo its prime, SLICE of each."""
+    if k not in _tables:
+        base, prime = BASES[k], PRIMES[k]
+        _tables[k] = powers(base, SLICE, prime), powers(pow(base, -1, prime), SLICE, prime)
+    return _tables[k]
+
+
+#: A value for each byte at each of the first places in a word.
+_values = mixed(np.arange(1, (PLACES << 8) + 1, dtype=np.uint64))
+
+
+def valued(places: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """A value of a byte at its place in a word; the values of different (place, byte) have nothing to do with each other."""
+    code = (places << 8) | data
+    return _values[code] if not len(code) or code.max() < len(_values) else mixed(code.astype(np.uint64) + np.uint64(1))
 
 
 class Words:
@@ -63,33 +75,44 @@ class Words:
         self.counts = np.bincount(self.doc, minlength=n)
 
     def hashes(self) -> np.ndarray:
-        """A mixed polynomial hash of each word's bytes."""
+        """A mixed sum of the values of each word's bytes at their places and of its length."""
         out, k, n = np.empty(len(self.start), np.uint64), 0, len(self.start)
         while k < n:
             base = int(self.start[k])
             stop = max(k + 1, int(np.searchsorted(self.end, base + SLICE, "right")))
-            s, e = self.start[k:stop] - base, self.end[k:stop] - base
-            size = int(e[-1])
-            up, down = _table(BYTE_BASE, size)
-            sums = np.zeros(size + 1, np.uint64)
-            np.cumsum((self.data[base : base + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
-            out[k:stop] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(WORD_BASE))
+            s, e = self.start[k:stop], self.end[k:stop]
+            sizes = e - s
+            if stop == k + 1 and sizes[0] > SLICE:  # one word, in parts
+                sums = np.zeros(1, np.uint64)
+                for at in range(0, int(sizes[0]), SLICE):
+                    part = self.data[base + at : min(base + at + SLICE, int(e[0]))]
+                    sums += valued(np.arange(at, at + len(part)), part).sum(dtype=np.uint64)
+            else:
+                first = np.cumsum(sizes) - sizes
+                places = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+                sums = np.add.reduceat(valued(places, self.data[np.repeat(s, sizes) + places]), first)
+            out[k:stop] = mixed(sums + sizes.astype(np.uint64) * np.uint64(LENGTH))
             k = stop
         return out
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of every run of length words inside one text; equal runs have equal hashes."""
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, hash of 62 bits, check of 16 bits) of every run of length words inside one text. These are three Rabin-Karp
+        hashes, modulo two primes below 2^31 and one below 2^16, over different parts of the words' hashes; equal runs have equal ones."""
         h = self.hashes()
         n = len(h) - length + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        out = np.empty(n, np.uint64)
-        for k in range(0, n, SLICE - length):
-            part = h[k : k + SLICE]
-            up, down = _table(WORD_BASE, len(part))
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(part * up[: len(part)], out=sums[1:])
-            m = len(part) - length + 1
-            out[k : k + m] = (sums[length:] - sums[:m]) * down[:m]
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+        low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
+        parts, out = (low, high, (h * np.uint64(SPREAD)) >> np.uint64(32)), []
+        for k, prime in enumerate(map(np.uint64, PRIMES)):
+            up, down = _table(k)
+            found = np.empty(n, np.uint64)
+            for a in range(0, n, SLICE - length):
+                part = parts[k][a : a + SLICE] % prime
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(part * up[: len(part)] % prime, out=sums[1:])
+                m = len(part) - length + 1
+                found[a : a + m] = (sums[length:] - sums[:m]) % prime * down[:m] % prime
+            out.append(found)
         at = np.flatnonzero(self.doc[:n] == self.doc[length - 1 :])
-        return at, mixed(out[at])
+        return at, (out[0][at] << np.uint64(31)) | out[1][at], out[2][at].astype(np.uint16)

@@ -7,6 +7,8 @@ import re
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from kinfold.llm import components, simhash, substring, words
 
 SCHEMA = "doc_id long, text string, chunk string, n_words string, f string"
@@ -65,11 +67,58 @@ def test_substring(spark):
     assert substring.repeats(frame(spark, [])).count() == 0
 
 
+def test_colliding_words(spark):
+    """Words that any polynomial hash modulo 2^64 takes for one, and a window hash that is cut to a few bits."""
+    thue = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{thue} {rest}"), (2, f"{other} {rest}"), (3, f"{thue} {rest}")]
+    got = {r["doc_id"]: r["n_removed"] for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+    long = "x" * (words.SLICE + 5)
+    import pyarrow as pa
+
+    h = words.Words(pa.array([f"{long} {long}y {long}", long])).hashes()
+    assert h[0] == h[2] == h[3] != h[1]
+    order, fresh = substring.grouped(np.array([5, 3, 5, 5], np.uint64), np.array([1, 0, 0, 1], np.uint16))
+    assert order.tolist() == [1, 2, 0, 3] and fresh.tolist() == [True, True, True, False]
+
+
+def test_windows_by_hand():
+    import pyarrow as pa
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["a", "b", "é"]) for _ in range(r.randrange(30))) for _ in range(60)]
+    at, keys, checks = words.Words(pa.array(texts)).windows(4)
+    runs = [tuple(t.split()[k : k + 4]) for t in texts for k in range(len(t.split()) - 3)]
+    assert len(at) == len(runs) and keys.max() < 1 << 62
+    seen = {}
+    for run, h in zip(runs, zip(keys.tolist(), checks.tolist())):
+        assert seen.setdefault(run, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_one_id_many_chunks(spark, monkeypatch):
+    """Rows of null and of equal doc_id are dealt to several chunks and still leave each other alone."""
+    monkeypatch.setattr(substring, "CHUNK_BYTES", 200)
+    r = random.Random(2)
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(None, f"n{i} {passage}") for i in range(60)] + [(5, f"f{i} {passage}") for i in range(60)] + [(k, " ".join(f"u{k}x{j}" for j in range(20))) for k in range(10, 50)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chunks = substring.dealt(docs, 40).groupBy("doc_id").agg(F.count_distinct(substring.ADDED).alias("n")).collect()
+    assert {x["doc_id"]: x["n"] > 3 for x in chunks if x["doc_id"] in (None, 5)} == {None: True, 5: True}
+    for x in substring.repeats(docs).collect():
+        assert x["n_removed"] == (20 if x["doc_id"] is None else 0)
+
+
 def test_packed():
     r = np.random.default_rng(1)
     for top in (3, 1 << 20, 1 << 61):
         h = np.unique(r.integers(0, top, 500, dtype=np.uint64))
-        assert (substring.unpacked(substring.packed(h)) == h).all()
+        checks = r.integers(0, 1 << 16, len(h)).astype(np.uint16)
+        got = substring.unpacked(substring.packed(h, checks))
+        assert (got[0] == h).all() and (got[1] == checks).all()
 
 
 def test_word_hashes():
