@@ -9,12 +9,15 @@ Candidates that the classifier accepts and no base span touches are added.
 
 Places are code points, the end exclusive. Patterns use possessive repeats and start only where a run of their first characters
 starts or the last match ended, so a long run is read once. Nulls: a null text is empty and has no spans; a null doc_id is
-kept. Repeated rows are judged alike, each for itself. An empty table gives no rows; without candidates nothing is added.
+kept. Repeated rows are judged alike, each for itself; where spans of several kinds overlap, all are given, base ones first. A text
+of very many spans is gathered in blocks, in little more than proportion. Other columns pass through, but for _base and _spans,
+which are replaced. An empty table gives no rows; without candidates nothing is added.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,29 +37,54 @@ SECRET = r"(?:\G|(?<![A-Za-z0-9_-]))(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|sk-|sk_live_|pk_live_|xox[abp]-|AIza|eyJ|glpat-)"
 CONTEXT = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_\x20-]?key|private[_\x20-]?key|access[_\x20-]?key|auth|bearer|credential|ssn|social[\x20]security)[\"'\x20:=_a-zA-Z]{0,12}$"
-#: Code points before a span that the context labeler reads.
-BEFORE = 32
+#: Code points before a span that the context labeler reads, and spans of a text that are gathered at once.
+BEFORE, BLOCK = 32, 128
+EMPTY = "array<struct<kind: string, start: long, end: long, match: string, before: string, after: string>>"
 SPAN = "array<struct<kind: string, start: long, end: long>>"
 LABELERS = ("shape", "gazetteer", "context", "delimiter", "digits")
 ROUNDS = 50
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once, also where a function inside use reads it for each of many elements."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def gathered(items: Column, begin: Column, empty: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What step makes of each item and a state that runs through them, as an array. step returns the next state and the element. An
+    array grows by copying, so BLOCK elements are gathered at a time, and the blocks after that."""
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / BLOCK) - 1, F.lit(0)).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
+
+    def one(state: Column, item: Column) -> Column:
+        after, element = step(state["at"], item)
+        return F.struct(after.alias("at"), F.concat(state["out"], F.array(element)).alias("out"))
+
+    def block(state: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(state["at"].alias("at"), empty.alias("out")), one)
+        return F.aggregate(F.array(inner), state, lambda _, x: F.struct(x["at"].alias("at"), F.concat(state["out"], F.array(x["out"])).alias("out")))
+
+    return F.aggregate(blocks, F.struct(begin.alias("at"), F.array().cast(f"array<{EMPTY}>").alias("out")), block, lambda state: F.flatten(state["out"]))
+
+
 def found(text: Column, pattern: str, kind: str, only: Column) -> Column:
-    """The pattern's matches where only holds, as structs kind, start, end and match. What lies between matches comes from a
-    split at them, and lengths add up to places."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.zip_with(between, matches, lambda gap, match: F.struct(F.length(gap).cast("long").alias("gap"), match.alias("match")))
-    empty = F.array().cast("array<struct<kind: string, start: long, end: long, match: string>>")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
+    """The pattern's matches where only holds, as structs kind, start, end, match, before and after: up to BEFORE code points of the
+    match before and what follows it, and the next one. What lies between matches comes from a split at them, and lengths add up to
+    places, so no match is sought from the text's start."""
+    none = F.array(F.lit(""))
+
+    def zipped(gaps: Column, matches: Column) -> Column:
+        n = F.size(matches)
+        items = F.arrays_zip(F.slice(gaps, F.lit(1), n).alias("gap"), matches.alias("match"), F.slice(F.concat(none, matches), F.lit(1), n).alias("prior"), F.slice(gaps, F.lit(2), n).alias("next"), F.slice(F.concat(matches, none), F.lit(2), n).alias("following"))
+        return bound(items, lambda x: gathered(x, F.lit(0).cast("long"), F.array().cast(EMPTY), step))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + pair["gap"]
-        end = start + F.length(pair["match"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["match"].alias("match"))
-        return F.when(pair["match"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out")))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
+        end = start + F.length(x["match"])
+        before, after = F.right(F.concat(x["prior"], x["gap"]), F.lit(BEFORE)), F.left(F.concat(x["next"], x["following"]), F.lit(1))
+        return end, F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["match"].alias("match"), before.alias("before"), after.alias("after"))
 
-    return F.when(only, F.aggregate(pairs, begin, step, lambda state: state["out"])).otherwise(empty)
+    all_ = bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda matches: bound(F.split(text, pattern, -1), lambda gaps: zipped(gaps, matches)))
+    return F.when(only, all_).otherwise(F.array().cast(EMPTY))
 
 
 def luhn(digits: Column) -> Column:
@@ -84,10 +112,9 @@ def _vote(for_: Column, against: Column) -> Column:
     return F.when(for_, 2).when(against, 0).otherwise(1)
 
 
-def judged(text: Column, span: Column) -> Column:
+def judged(span: Column) -> Column:
     """A candidate with its cell: its kind, length class and votes (0 against, 1 none, 2 for) as one string."""
-    match, before = span["match"], F.substring(text, F.greatest(span["start"] - BEFORE, F.lit(0)).cast("int") + 1, F.least(span["start"], F.lit(BEFORE)).cast("int"))
-    after = F.substring(text, span["end"].cast("int") + 1, F.lit(1))
+    match, before, after = span["match"], span["before"], span["after"]
     share = F.length(_digits(match)) / F.length(match)
     secret = span["kind"] == "secret"
     shape = _vote(F.when(secret, match.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") | (match.rlike("[a-z]") & match.rlike("[A-Z]") & (F.length(match) >= 20))).otherwise(match.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)")), F.when(secret, match.rlike("^[A-Za-z]+[_-]?[0-9]{1,4}$")).otherwise(match.rlike("^(?:000|666|9)")))
@@ -102,7 +129,7 @@ def judged(text: Column, span: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     secrets = found(text, SECRET, "secret", text.rlike(SECRET.replace(r"\G|", "")))
-    return F.transform(F.concat(secrets, found(text, SSN, "ssn", text.rlike(SSN))), lambda s: judged(text, s))
+    return F.transform(F.concat(secrets, found(text, SSN, "ssn", text.rlike(SSN))), judged)
 
 
 def estimate(cells: dict[str, int], rounds: int = ROUNDS) -> tuple[float, dict[tuple[int, int], tuple[float, float]], dict[str, float]]:
@@ -176,16 +203,31 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """text with each span replaced by its kind in brackets; of overlapping spans the first names what they cover together."""
+    """text with each span replaced by its kind in brackets; of overlapping spans the first names what they cover together. Each
+    block of spans takes its part out of the text once, and each span its piece out of that part."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"].cast("int") + 1, (s["start"] - state["at"]).cast("int"))
-        new = F.struct((-s["back"]).alias("at"), F.concat(state["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
-        return F.when(s["start"] >= state["at"], new).otherwise(F.struct(F.greatest(state["at"], -s["back"]).alias("at"), state["out"].alias("out")))
+    def blocks(every: Column) -> Column:
+        count = F.greatest(F.ceil(F.size(every) / BLOCK) - 1, F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), count), lambda k: F.slice(every, k * BLOCK + 1, BLOCK))
+
+    def piece(part: Column, at: Column, start: Column, end: Column) -> Column:
+        return F.substring(part, (start - at).cast("int") + 1, F.greatest(end - start, F.lit(0)).cast("int"))
+
+    def block(state: Column, some: Column) -> Column:
+        at, last = state["at"], F.greatest(state["at"], F.array_max(F.transform(some, lambda s: s["start"])))
+        part = piece(text, F.lit(0), at, last)
+
+        def one(inner: Column, s: Column) -> Column:
+            fresh = s["start"] >= inner["at"]
+            said = F.concat(piece(inner["part"], at, inner["at"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.struct(F.greatest(inner["at"], -s["back"]).alias("at"), F.when(fresh, F.concat(inner["out"], F.array(said))).otherwise(inner["out"]).alias("out"), inner["part"].alias("part"))
+
+        inner = F.aggregate(some, F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"), part.alias("part")), one)
+        return F.aggregate(F.array(inner), state, lambda _, x: F.struct(x["at"].alias("at"), F.concat(state["out"], F.array(F.array_join(x["out"], ""))).alias("out")))
 
-    done = F.aggregate(ordered, begin, step, lambda state: F.concat(state["out"], F.substring(text, state["at"].cast("int") + 1, F.lit(2147483647))))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    done = F.aggregate(bound(ordered, blocks), begin, block, lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"].cast("int") + 1, F.lit(2147483647))))
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 

@@ -99,6 +99,48 @@ def test_pii_cases(spark):
     assert pii.with_spans(docs.limit(0)).count() == 0
 
 
+def test_many_spans(spark):
+    """Thousands of spans in one text, over several blocks, in little time."""
+    import time
+
+    n = 32_000
+    text = " ".join(f"a{i}@b{i}.cd" for i in range(n))
+    docs = spark.createDataFrame([(1, text, "x"), (2, "c@d.ef " * 300 + "end", "x")], "doc_id long, text string, _rest string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.with_spans(docs).select("doc_id", pii.listed(F.col("_base")).alias("s"), pii.redacted(F.col("text"), F.col("_spans")).alias("t")).collect()}
+    assert time.time() - began < 40
+    assert got[1]["s"] == base(text) and got[1]["t"] == " ".join(["[EMAIL]"] * n) and got[2]["t"] == "[EMAIL] " * 300 + "end"
+
+
+def test_context_of_matches(spark):
+    """What stands around a match, beside the start and end of the text and other matches."""
+    text = "id 123-45-6789 ssn: 111-22-3333,222-33-4444"
+    row = spark.createDataFrame([(text,)], "text string").select(pii.found(F.col("text"), pii.SSN, "ssn", F.lit(True)).alias("x")).first()["x"]
+    assert [(r["match"], text[r["start"] : r["end"]], r["before"], r["after"]) for r in row] == [("123-45-6789", "123-45-6789", "id ", " "), ("111-22-3333", "111-22-3333", text[max(0, 20 - 32) : 20][-17:], ","), ("222-33-4444", "222-33-4444", "111-22-3333,", "")]
+
+
+def test_redacted_overlaps(spark):
+    """Against a plain version, on random spans that overlap and repeat."""
+    r = random.Random(5)
+    rows = []
+    for i in range(200):
+        text = "".join(r.choice("abé漢😀 ") for _ in range(r.randrange(1, 400)))
+        spans = []
+        for _ in range(r.randrange(300)):
+            a = r.randrange(len(text))
+            spans.append((r.choice(["email", "ip"]), a, min(len(text), a + r.randrange(1, 5))))
+        rows.append((i, text, spans))
+    docs = spark.createDataFrame(rows, f"i long, text string, spans {pii.SPAN}")
+    for row in docs.select("i", pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect():
+        _, text, spans = rows[row["i"]]
+        out, at = "", 0
+        for a, back, kind in sorted((s, -e, k) for k, s, e in spans):
+            if a >= at:
+                out += text[at:a] + f"[{kind.upper()}]"
+            at = max(at, -back)
+        assert row["t"] == out + text[at:]
+
+
 @pytest.mark.parametrize("true", [0.2, 0.7])
 def test_pii_estimate(true):
     r = random.Random(1)
