@@ -2,18 +2,22 @@
 
 Overlapping heuristic labelers vote on each document: good, bad or nothing. Their votes are counted by pattern, of which there are
 few however many documents there are. Expectation-maximisation over the counts estimates how each labeler votes on good and on
-bad documents, and so a posterior for each pattern. The posteriors label a sample of at most SAMPLE documents, on which a linear scorer over
-hashed features (shapes of words and the words themselves, as shares of a document's words) is trained by logistic regression.
-The scorer then judges every whole document; one whose score is below zero is rejected.
+bad documents, and so a posterior for each pattern. The posteriors label a sample of at most SAMPLE different texts, those of least
+hash, on which a linear scorer over hashed features (shapes of words and the words themselves, as shares of a document's words) is
+trained by logistic regression. The scorer then judges every whole document; one whose score is below zero is rejected.
+
+Each labeler measures something of its own, and each fault shows in two of them at least. The sample is drawn from the texts that
+there are, however often each is repeated, so it is never empty while there is a document.
 
 Nulls: a null text is empty; a document without words is rejected with score -inf. A null doc_id is kept and judged. Repeated
-rows are judged alike. An empty table gives no rows. Other columns pass through keep().
+rows are judged alike; a score of exactly zero keeps. A text of any length is judged as a whole, in a few times its bytes. An
+empty table gives no rows. Other columns pass through, but for those that have the names of added ones, which are replaced.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +28,11 @@ from pyspark.sql import types as T
 from . import common
 from .words import Words, mixed
 
-#: Documents that the scorer is trained on at most, and bits of the feature hash.
-SAMPLE, BITS = 4_000, 14
-LABELERS = ("symbols", "shouting", "table", "echo", "letters", "casing", "variety", "sentences")
+#: Texts that the scorer is trained on at most, how many features they have together at most, and bits of the feature hash.
+SAMPLE, CELLS, BITS = 4_000, 4_000_000, 14
+LABELERS = ("symbols", "letters", "shouting", "endings", "lone", "echo", "variety", "sentences")
+#: Bounds of a labeler's votes: bad on good documents, good on bad ones.
+FALSE, BLIND = 0.003, 0.5
 SYMBOLS, MARKS = b"#$%&*~^<>{}[]\\|!", b".,;:?'\"()-"
 
 _class = np.full(256, 4, np.uint8)
@@ -64,28 +70,37 @@ class Documents:
         """The votes of all labelers as one number in base 3: 0 bad, 1 none, 2 good."""
         w, data = self.words, self.words.data
         n = np.maximum(w.counts, 1)
-        symbols = self.per(np.isin(data, np.frombuffer(SYMBOLS, np.uint8)))
-        bars, upper, lower = self.per(data == 124), self.per((data >= 65) & (data < 91)), self.per(_class[data] == 0)
-        echo = np.bincount(w.doc, self.echo, minlength=len(n)) / n
-        letters, cased = upper + lower, np.maximum(upper + lower, 1)
-        plain = letters / np.maximum(letters + symbols, 1)
-        ends = np.bincount(w.doc, (self.last == 3) & (self.before == 0), minlength=len(n)) / n
-
-        def vote(bad: np.ndarray | bool, good: np.ndarray | bool) -> np.ndarray:
+        kinds = _class[data]
+
+        def share(of: np.ndarray) -> np.ndarray:
+            """Of a document's words."""
+            return np.bincount(w.doc, of, minlength=len(n)) / n
+
+        symbols = self.per(np.isin(data, np.frombuffer(SYMBOLS, np.uint8))) / n
+        upper, lower = self.per(kinds == 1), self.per(kinds == 0)
+        letters, solid = upper + lower, np.bincount(w.doc, w.end - w.start, minlength=len(n))
+        plain, loud = self.per(kinds <= 2) / np.maximum(solid, 1), upper / np.maximum(letters, 1)
+        spoken = np.concatenate([[0], np.cumsum(kinds <= 2)])
+        lone = share(spoken[w.end] == spoken[w.start])
+        doubled = share((self.last >= 3) & (self.before >= 3) & (w.end - w.start > 1))
+        ends = share((self.last == 3) & (self.before <= 2))
+        again = share(self.echo)
+        first = np.unique(np.stack([w.doc.astype(np.uint64), self.hash]), axis=1)[0] if len(w.doc) else np.zeros(0, np.uint64)
+        variety = np.bincount(first.astype(np.int64), minlength=len(n)) / n
+        few, some = w.counts < 4, w.counts >= 30
+
+        def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
             return np.where(bad, 0, np.where(good, 2, 1))
 
-        # four look for one fault each; four look at a whole text and only speak for it if it has no fault at all
-        clean = (symbols / n < 0.05) & ((echo < 0.08) | (echo * n <= 1)) & ((upper / cased < 0.15) | (w.counts < 4))
-        loud = (upper / cased > 0.3) & (w.counts >= 4)
         votes = (
-            vote(symbols / n > 0.25, False),
-            vote(loud, False),
-            vote(bars / n > 0.1, False),
-            vote((echo > 0.2) & (w.counts >= 4), False),
-            vote(plain < 0.95, clean & (plain > 0.97)),
-            vote(loud, clean & (upper > 0)),
-            vote((echo > 0.2) & (w.counts >= 4), clean & (w.counts >= 4)),
-            vote((ends == 0) & (w.counts >= 50), clean & (ends > 0.02)),
+            vote(symbols > 0.25, symbols < 0.05),
+            vote((plain < 0.8) & ~few, (plain > 0.9) | few),
+            vote((loud > 0.3) & ~few, (loud < 0.15) | few),
+            vote(doubled > 0.25, doubled < 0.08),
+            vote(lone > 0.1, lone < 0.03),
+            vote((again > 0.15) & ~few, again < 0.05),
+            vote(some & (variety < 0.15), some & (variety > 0.3)),
+            vote((w.counts >= 50) & (ends < 0.005), ends > 0.02),
         )
         out = np.zeros(len(n), np.int64)
         for v in votes:
@@ -106,10 +121,19 @@ def _votes(pattern: int) -> list[int]:
     return out[::-1]
 
 
-def estimate(counts: dict[int, int], rounds: int = 60) -> tuple[dict[int, float], dict[str, tuple[list[float], list[float]]]]:
+def limited(chances: list[float], vote: int, bound: float, pick: Callable) -> list[float]:
+    """The chances with that of one vote held to a bound and the others in proportion."""
+    kept = pick(chances[vote], bound)
+    rest = (1 - kept) / max(1 - chances[vote], 1e-12)
+    return [kept if v == vote else max(c * rest, 1e-9) for v, c in enumerate(chances)]
+
+
+def estimate(counts: dict[int, int], rounds: int = 60, false: float = FALSE, blind: float = BLIND) -> tuple[dict[int, float], dict[str, tuple[list[float], list[float]]]]:
     """(posterior of good by pattern, per labeler its votes' chances on good and on bad documents), by
-    expectation-maximisation with pseudo-counts, from a start where labelers are right more often than not."""
-    start = ([0.03, 0.47, 0.5], [0.4, 0.5, 0.1])
+    expectation-maximisation with pseudo-counts, from a start where labelers are right more often than not. Labelers see a fault
+    each, so the estimates are held to what that means: a labeler calls at most false of the good documents bad, and at least blind
+    of the bad ones, those with other faults, good. Without these bounds the commonest fault alone becomes the bad class."""
+    start = ([0.02, 0.28, 0.7], [0.35, 0.3, 0.35])  # a bad document may well have but one fault
     good, bad, prior, posterior = [list(start[0]) for _ in LABELERS], [list(start[1]) for _ in LABELERS], 0.7, {}
     total = sum(counts.values())
     votes = {p: _votes(p) for p in counts}
@@ -126,6 +150,7 @@ def estimate(counts: dict[int, int], rounds: int = 60) -> tuple[dict[int, float]
                 sums[1][votes[p][k]] += n * (1 - posterior[p])
             good[k] = [(sums[0][v] + 10 * start[0][v]) / (mass + 10) for v in range(3)]
             bad[k] = [(sums[1][v] + 10 * start[1][v]) / (total - mass + 10) for v in range(3)]
+            good[k], bad[k] = limited(good[k], 0, false, min), limited(bad[k], 2, blind, max)
     return posterior, {name: (good[k], bad[k]) for k, name in enumerate(LABELERS)}
 
 
@@ -147,19 +172,25 @@ def train(rows: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray,
     return weights, bias
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dict]:
-    """(weights, bias, the labelers' estimated votes). Counts all documents' patterns, trains on at most sample documents, those of least
-    hash of doc_id and text length."""
+def fit(docs: DataFrame, sample: int = SAMPLE, cells: int = CELLS) -> tuple[np.ndarray, float, dict]:
+    """(weights, bias, the labelers' estimated votes). Counts all documents' patterns, trains on at most sample different texts with
+    at most cells features together (one text at least), those of least hash."""
     common.prepare(docs.sparkSession)
-    rows = docs.select("doc_id", common.text_of().alias("text"))
+    rows = docs.select(F.xxhash64(common.text_of()).alias("h"), common.text_of().alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, n = np.unique(Documents(b.column(1)).patterns(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], ["pattern", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(Documents(b.column(1)).patterns()), b.column(0)], ["pattern", "h"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task's part of the sample
         for b in batches:
+            h, fresh = b.column(0).to_pylist(), []
+            for k, x in enumerate(h):
+                if x not in seen:
+                    seen.add(x)
+                    fresh.append(k)
+            b = b.take(pa.array(fresh, pa.int64()))
             d = Documents(b.column(1))
             columns, shares = [], []
             ends = np.cumsum(d.words.counts)
@@ -168,20 +199,27 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dict]
                 index, times = np.unique(np.concatenate([d.features[0][own], d.features[1][own]]), return_counts=True)
                 columns.append(index)
                 shares.append(times / max(1, n))
-            yield pa.RecordBatch.from_arrays([pa.array(d.patterns()), pa.array(columns, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float64()))], ["pattern", "columns", "shares"])
+            sizes = pa.array([len(x) for x in columns], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d.patterns()), sizes, pa.array(columns, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["h", "pattern", "n", "columns", "shares"])
 
-    tally = rows.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # 3^8 rows at most
-    counts = {r["pattern"]: r["n"] for r in tally}
+    found = rows.mapInArrow(count, "pattern long, h long").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).collect()  # 3^8 rows at most
+    counts = {r["pattern"]: r["n"] for r in found}
     if not counts:
         return np.zeros(1 << BITS), 0.0, {}
     posterior, learned = estimate(counts)
-    order = F.xxhash64("doc_id", F.length("text"))
-    share = min(1.0, 4 * sample / sum(counts.values()))
-    some = rows.filter(F.pmod(order, F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).orderBy(order, "doc_id").limit(sample)
-    got = some.mapInArrow(describe, "pattern long, columns array<long>, shares array<double>").toArrow()
-    patterns = got.column("pattern").to_pylist()
-    labels = np.array([posterior[p] for p in patterns])
-    weights, bias = train([np.asarray(x.values) for x in got.column("columns")], [np.asarray(x.values) for x in got.column("shares")], labels)
+    # a text has one pattern, so the patterns' numbers of texts add up
+    share = min(1.0, 4 * sample / sum(r["texts"] for r in found))
+    place = F.pmod("h", F.lit(1 << 30))
+    some = rows.filter(place < F.lit(math.ceil(share * (1 << 30)))).mapInArrow(describe, "h long, pattern long, n long, columns array<int>, shares array<float>")
+    table, path = common.cut(some, "sample")
+    sizes = table.groupBy(place.alias("place"), "h").agg(F.max("n").alias("n")).orderBy("place", "h").limit(sample).collect()
+    held = np.cumsum([r["n"] for r in sizes])
+    last = sizes[max(0, int(np.searchsorted(held, cells, "right")) - 1)]
+    chosen = table.filter((place < last["place"]) | (place == last["place"]) & (F.col("h") <= last["h"])).dropDuplicates(["h"])
+    got = chosen.orderBy("h").select("pattern", "columns", "shares").toArrow()
+    common.remove(docs.sparkSession, path)
+    labels = np.array([posterior[p] for p in got.column("pattern").to_pylist()])
+    weights, bias = train([x.values.to_numpy().astype(np.int64) for x in got.column("columns")], [x.values.to_numpy().astype(float) for x in got.column("shares")], labels)
     return weights, bias, learned
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,81 @@ def test_quality_cases(spark):
     assert kept.columns == ["doc_id", "text"] and kept.count() == 62
 
 
+def plain_votes(text):
+    """What the labelers say, word by word."""
+    ws = re.findall(r"[^\x20\x09-\x0D]+", text)
+    raw = [w.encode() for w in ws]
+    n = max(1, len(ws))
+    lower, upper, digit, mark = (lambda c: 97 <= c <= 122 or c >= 128), (lambda c: 65 <= c <= 90), (lambda c: 48 <= c <= 57), (lambda c: c in b".,;:?'\"()-")
+    spoken = lambda c: lower(c) or upper(c) or digit(c)
+    data = text.encode()
+    symbols = sum(c in b"#$%&*~^<>{}[]\\|!" for c in data) / n
+    plain = sum(map(spoken, data)) / max(1, sum(map(len, raw)))
+    loud = sum(map(upper, data)) / max(1, sum(lower(c) or upper(c) for c in data))
+    doubled = sum(len(w) > 1 and not spoken(w[-1]) and not spoken(w[-2]) for w in raw) / n
+    lone = sum(not any(map(spoken, w)) for w in raw) / n
+    again = sum(a == b for a, b in zip(raw, raw[1:])) / n
+    ends = sum(mark(w[-1]) and len(w) > 1 and spoken(w[-2]) for w in raw) / n
+    variety, few, some = len(set(raw)) / n, len(ws) < 4, len(ws) >= 30
+    rules = [
+        (symbols > 0.25, symbols < 0.05),
+        (plain < 0.8 and not few, plain > 0.9 or few),
+        (loud > 0.3 and not few, loud < 0.15 or few),
+        (doubled > 0.25, doubled < 0.08),
+        (lone > 0.1, lone < 0.03),
+        (again > 0.15 and not few, again < 0.05),
+        (some and variety < 0.15, some and variety > 0.3),
+        (len(ws) >= 50 and ends < 0.005, ends > 0.02),
+    ]
+    return [0 if bad else 2 if good else 1 for bad, good in rules]
+
+
+def test_quality_brute_force(spark):
+    """The whole query on the smallest tables, and odd texts, against votes, estimates, training and scores worked out plainly."""
+    import pyarrow as pa
+    import xxhash
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    odd = ["", " ", "a", "A B C D", "| | |", "é! ??", "x x x x x", "1234 " * 60, "«»"]
+    votes = {i: plain_votes(t) for i, t in enumerate([*texts.values(), *odd])}
+    got = quality.Documents(pa.array([*texts.values(), *odd])).patterns().tolist()
+    assert [quality._votes(p) for p in got] == [votes[i] for i in range(len(got))]
+    counts = {}
+    for t in texts.values():
+        p = int("".join(map(str, plain_votes(t))), 3)
+        counts[p] = counts.get(p, 0) + 1
+    posterior, _ = quality.estimate(counts)
+    # all different texts are in the sample, in the order of Spark's hash
+    order = spark.createDataFrame([(i, t) for i, t in texts.items()], "i long, t string").select("i", F.xxhash64("t").alias("h"), F.pmod(F.xxhash64("t"), F.lit(1 << 30)).alias("p")).collect()
+    firsts = {}
+    for r in order:
+        firsts.setdefault(r["h"], r["i"])
+    chosen = [texts[firsts[h]] for h in sorted(firsts)]
+    d = quality.Documents(pa.array(chosen))
+    rows, shares = [], []
+    for k, t in enumerate(chosen):
+        own = d.words.doc == k
+        index, times = np.unique(np.concatenate([d.features[0][own], d.features[1][own]]), return_counts=True)
+        rows.append(index)
+        shares.append((times / max(1, own.sum())).astype(np.float32).astype(float))
+    weights, bias = quality.train(rows, shares, np.array([posterior[int("".join(map(str, plain_votes(t))), 3)] for t in chosen]))
+    for r in quality.op1_quality(spark, "/root/testdata/sf0.001").collect():
+        one = quality.Documents(pa.array([texts[r["doc_id"]]]))
+        n = len(one.hash)
+        score = bias + sum(weights[f] for f in [*one.features[0], *one.features[1]]) / n if n else float("-inf")
+        assert abs(r["score"] - score) < 1e-4 or r["score"] == score
+        assert r["keep"] == int(score >= 0)
+
+
+def test_quality_repeated_rows(spark):
+    """Very many copies of one text leave a sample, wherever its hash lies: junk goes and prose stays."""
+    for text, keep in [("&&& *** " * 9, False), ("A%% B## C&& D$$ E** F!! " * 8, False), ("The old house stands near the river, and nobody lives there now.", True)]:
+        rows = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+        assert quality.judged(rows).filter("keep").count() == (40_000 if keep else 0)
+    model = quality.fit(rows, 10, 3)
+    assert model[0].any() or model[1]
+
+
 def test_quality_estimate():
     """Votes drawn from known labelers give back the truth's side."""
     r = random.Random(6)
@@ -44,11 +120,26 @@ def test_quality_estimate():
             p = p * 3 + v
         counts[p] = counts.get(p, 0) + 1
         truth.setdefault(p, []).append(good)
-    posterior, learned = quality.estimate(counts)
+    posterior, learned = quality.estimate(counts, false=1.0, blind=0.0)
     right = sum(g == (posterior[p] >= 0.5) for p, gs in truth.items() for g in gs)
     assert right > 4900 and all(abs(a[2] - 0.6) < 0.08 for a, _ in learned.values())
 
 
+def test_quality_one_fault_each():
+    """Bad documents have one fault of four, of very different frequency, which two labelers see."""
+    r = random.Random(9)
+    counts, truth = {}, {}
+    for _ in range(20_000):
+        fault = r.choices((None, 0, 1, 2, 3), (0.86, 0.09, 0.03, 0.01, 0.01))[0]
+        votes = [(0 if r.random() < 0.95 else 1) if fault is not None and k // 2 == fault else r.choices((0, 1, 2), (0.001, 0.049, 0.95))[0] for k in range(8)]
+        p = int("".join(map(str, votes)), 3)
+        counts[p] = counts.get(p, 0) + 1
+        truth.setdefault(p, []).append(fault is None)
+    posterior, _ = quality.estimate(counts)
+    wrong = sum(g != (posterior[p] >= 0.5) for p, gs in truth.items() for g in gs)
+    assert wrong < 200
+
+
 def luhn(digits):
     total = 0
     for k, c in enumerate(reversed(digits)):
