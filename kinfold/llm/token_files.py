@@ -5,7 +5,8 @@ whole comes from a prefix sum over the files' token counts. Index layout, little
 integers the bytes per id, the document count and the end id, then doc_id (signed), a null flag and offset (count + 1) columns.
 
 Nulls: a null text is empty, so its document holds the end id alone; a null doc_id sorts first and comes back null.
-Repeated doc_ids stay separate documents, in the order of their texts. An empty table gives no files and no rows.
+Repeated doc_ids stay separate documents, in the order of their texts. A text of any length is encoded in one piece, a few times
+its bytes. Other columns are not read, so they may have any names. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from . import common, segments
 
 MAGIC = b"KFTOKID1"
 END_ID = 2
+#: Files of a run whose bases are summed up together.
+RUN = 4096
 MANIFEST = "part long, n_docs long, n_tokens long, data string, index string"
 
 
@@ -63,8 +66,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     rows = docs.select("doc_id", common.text_of().alias("text"))
     dealt = rows.repartitionByRange(common.task_count(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     manifest, _ = common.cut(dealt.mapInArrow(task, MANIFEST), "token-files")
-    before = W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)  # one row a file
-    return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    # prefix sums within runs of files, and over the runs, which are few
+    run = F.floor(F.col("part") / RUN).alias("run")
+    inside = W.Window.partitionBy("run").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    before = W.Window.orderBy("run").rowsBetween(W.Window.unboundedPreceding, -1)
+    runs = manifest.groupBy(run).agg(F.sum("n_tokens").alias("n")).select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    placed = manifest.select("*", run).join(runs, "run").withColumn("base", F.col("first") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    return placed.select(*manifest.columns, "base")
 
 
 def load(data: str, index: str):
