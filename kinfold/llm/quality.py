@@ -85,8 +85,8 @@ class Documents:
         doubled = share((self.last >= 3) & (self.before >= 3) & (w.end - w.start > 1))
         ends = share((self.last == 3) & (self.before <= 2))
         again = share(self.echo)
-        first = np.unique(np.stack([w.doc.astype(np.uint64), self.hash]), axis=1)[0] if len(w.doc) else np.zeros(0, np.uint64)
-        variety = np.bincount(first.astype(np.int64), minlength=len(n)) / n
+        one = np.unique(mixed(self.hash + w.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]  # of each word of a document
+        variety = np.bincount(w.doc[one], minlength=len(n)) / n
         few, some = w.counts < 4, w.counts >= 30
 
         def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, cells: int = CELLS) -> tuple[np.n
         return np.zeros(1 << BITS), 0.0, {}
     posterior, learned = estimate(counts)
     # a text has one pattern, so the patterns' numbers of texts add up
-    share = min(1.0, 4 * sample / sum(r["texts"] for r in found))
+    share = min(1.0, 2 * sample / sum(r["texts"] for r in found))
     place = F.pmod("h", F.lit(1 << 30))
     some = rows.filter(place < F.lit(math.ceil(share * (1 << 30)))).mapInArrow(describe, "h long, pattern long, n long, columns array<int>, shares array<float>")
     table, path = common.cut(some, "sample")
