@@ -94,13 +94,13 @@ class Automaton:
             right.append(number[v])
         self.compile(len(letters), np.array(left, np.int64), np.array(right, np.int64), list(gadgets))
         #: By a token's bytes: its id, its state, its place among the arcs, its length and the next shorter token that it begins
-        #: with. By three first bytes: the longest token's length.
+        #: with. By four first bytes: the longest token's length.
         self.tokens: dict[bytes, tuple] = {}
         self.longest: dict[bytes, int] = {}
         for label, i, k in sorted((self.labels[i], i, k) for i, k in number.items()):
             begin = next((t for n in range(len(label) - 1, 0, -1) if (t := self.tokens.get(label[:n]))), None)
             self.tokens[label] = i, int(self.state[k]), int(self.arc[k]), len(label), begin
-            self.longest[label[:3]] = max(len(label), self.longest.get(label[:3], 0))
+            self.longest[label[:4]] = max(len(label), self.longest.get(label[:4], 0))
 
     def compile(self, letters: int, left: np.ndarray, right: np.ndarray, gadgets: list[tuple[int, int]]) -> None:
         """Fill the table: bounds, where intervals of lost arcs begin and end, those of state k from rows[k] to rows[k + 1]."""
@@ -157,7 +157,7 @@ class Automaton:
             if token is _NONE:
                 token = None  # no shorter token either
             elif token is None:
-                end = min(n, at + longest(word[at : at + 3], 2))
+                end = min(n, at + longest(word[at : at + 4], 3))
                 while (token := get(word[at:end])) is None and end > at:
                     end -= 1
             # an odd number of bounds before the arc's place: the state has lost it

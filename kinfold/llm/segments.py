@@ -20,7 +20,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 _pieces = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _double = re.compile(r"\s\s")
 #: Rendered segments that a task keeps, and the longest segment that it keeps.
-KEPT, LONGEST = 300_000, 64
+KEPT, LONGEST = 250_000, 64
 #: What may end a segment as a word of its own, after a letter, and what all Latin letters come before.
 MARKS, LATIN = ".,;:!?%&$#*", "\u0250"
 
@@ -31,16 +31,20 @@ def segments(text: str) -> list[str]:
 
 
 class _Table(dict):
-    """Renderings by segment, of bounded size; a segment that is not there is rendered and, if short, kept."""
+    """Renderings by segment, of bounded size: when KEPT are there, they make room, but those that are asked for again while the next
+    KEPT come are taken over. A segment that is in neither is rendered and, if short, kept."""
 
     def __init__(self, render: Callable[[str], object]):
         super().__init__()
-        self.render = render
+        self.render, self.before = render, {}
 
     def __missing__(self, segment: str):
-        got = self.render(segment)
+        got = self.before.get(segment)
+        if got is None:
+            got = self.render(segment)
         if len(segment) <= LONGEST:
             if len(self) >= KEPT:
+                self.before = self.copy()
                 self.clear()
             self[segment] = got
         return got
