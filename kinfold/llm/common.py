@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of input files that one task should handle where an operator holds a task's rows together.
 TASK_BYTES = 16 << 20
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 BATCH_ROWS = 4096
 #: A key with more than LEAST rows and over 1 / HOT of all rows is joined by broadcast.
 LEAST, HOT = 200, 4096

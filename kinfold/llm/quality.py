@@ -40,6 +40,8 @@ _class[list(range(97, 123)) + list(range(128, 256))] = 0
 _class[65:91] = 1
 _class[48:58] = 2
 _class[list(MARKS)] = 3
+_symbol = np.zeros(256, bool)
+_symbol[list(SYMBOLS)] = True
 
 
 class Documents:
@@ -76,11 +78,11 @@ class Documents:
             """Of a document's words."""
             return np.bincount(w.doc, of, minlength=len(n)) / n
 
-        symbols = self.per(np.isin(data, np.frombuffer(SYMBOLS, np.uint8))) / n
+        symbols = self.per(_symbol[data]) / n
         upper, lower = self.per(kinds == 1), self.per(kinds == 0)
         letters, solid = upper + lower, np.bincount(w.doc, w.end - w.start, minlength=len(n))
         plain, loud = self.per(kinds <= 2) / np.maximum(solid, 1), upper / np.maximum(letters, 1)
-        spoken = np.concatenate([[0], np.cumsum(kinds <= 2)])
+        spoken = np.concatenate([np.zeros(1, np.int32), np.cumsum(kinds <= 2, dtype=np.int32 if len(kinds) < 1 << 31 else np.int64)])
         lone = share(spoken[w.end] == spoken[w.start])
         doubled = share((self.last >= 3) & (self.before >= 3) & (w.end - w.start > 1))
         ends = share((self.last == 3) & (self.before <= 2))

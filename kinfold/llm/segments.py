@@ -20,7 +20,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 _pieces = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _double = re.compile(r"\s\s")
 #: Rendered segments that a task keeps, and the longest segment that it keeps.
-KEPT, LONGEST = 250_000, 64
+KEPT, LONGEST = 200_000, 64
 #: What may end a segment as a word of its own, after a letter, and what all Latin letters come before.
 MARKS, LATIN = ".,;:!?%&$#*", "\u0250"
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 PRIMES, BASES = (2147483647, 2147483629, 65521), (1812433253, 1099087573, 40503)
 LENGTH, SPREAD = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 #: Bytes or words that are worked on at once, and places in a word whose bytes' values are kept in a table.
-SLICE, PLACES = 1 << 20, 64
+SLICE, PLACES = 1 << 17, 64
 
 
 def powers(base: int, n: int, prime: int) -> np.ndarray:
