@@ -26,7 +26,6 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,19 +169,12 @@ def _crossed(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """rows without most of those that are not wanted (doc_id, r), so that their texts are not shuffled. A bitmap of hashes, of WORDS
-    longs at most however many are wanted, goes to the driver and back; rows that share a bit with a wanted one stay."""
-    h = F.xxhash64("doc_id", "r")
-    word, bit = h.bitwiseAND(F.lit(WORDS - 1)), F.shiftright(h, 32).bitwiseAND(F.lit(63))
-    got = wanted.select(word.alias("w"), F.expr("shiftleft(1L, CAST(shiftright(xxhash64(doc_id, r), 32) & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    words = np.zeros(WORDS, np.int64)
-    words[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    handed = rows.sparkSession.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def marked(w: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series((handed.value[w.to_numpy(np.int64)] >> k.to_numpy(np.int64)) & 1 == 1)
-
-    return rows.filter(marked(word, bit))
+    longs at most however many are wanted, is broadcast; rows that share a bit with a wanted one stay."""
+    h = "xxhash64(doc_id, r)"
+    word, place = F.expr(f"{h} & {WORDS - 1}").alias("w"), f"CAST(shiftright({h}, 32) & 63 AS INT)"
+    bitmap = wanted.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, {place})")).alias("bits"))
+    marked = rows.select("*", word).join(F.broadcast(bitmap), "w")  # WORDS rows at most
+    return marked.filter(F.expr(f"shiftright(bits, {place}) & 1 = 1")).drop("w", "bits")
 
 
 def _checked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, str]:
@@ -245,9 +237,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     nodes, nodes_path = common.cut(sets.groupBy("s").agg(F.min(F.struct("doc_id", "r")).alias("least"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("f").alias("f"), F.max("odd").alias("odd")), "nodes")
     # one row a node: that of its smallest row
     first = sets.join(nodes.select("s", F.col("least.doc_id").alias("doc_id"), F.col("least.r").alias("r")), ["s", "doc_id", "r"]).dropDuplicates(["s"])
-    posted = first.select(F.explode("prefix").alias("h"), "n", "s", "f")
+    posted = first.select(F.explode("prefix").alias("h"), "s")
     shared = posted.groupBy("h").count().filter("count > 1").select("h")
-    held, held_path = common.cut(posted.join(shared, "h").select("h", "n", "s", "f"), "shared")
+    held, held_path = common.cut(posted.join(shared, "h").join(nodes.select("s", "n", "f"), "s").select("h", "n", "s", "f"), "shared")
     # texts that share no rare shingle are alone; the others carry the label of the component that they are known to be in
     label, label_path = common.cut(held.groupBy("s").agg(F.count(F.lit(1)).alias("deg")).select("s", "deg", F.col("s").alias("label")), "labels")
     hash_ = F.xxhash64("s", "h")
