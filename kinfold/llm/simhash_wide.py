@@ -9,8 +9,8 @@ is left are intersected before a pair counts as linked. DISTANCE is three and a
 least similarity: of pairs just there about one in 5,000 is missed, of more alike ones fewer.
 
 Texts with the same set are one node. As groups of near copies share most of their rare shingles, a shingle's nodes are first
-compared with their neighbours in the order of fingerprints, then with two nodes of the shingle's largest component: these rounds
-are linear. What then still lies in different components is compared under each shingle, but for those of its largest component
+compared with their neighbours in the order of fingerprints, then with that node of the shingle's largest component that shares
+most shingles: these rounds are linear. What then still lies in different components is compared under each shingle, but for those of its largest component
 with each other; a join row carries what decides whether a pair is possible, so only pairs at the brink leave the join. The
 components are the same as with all pairs. A group of texts that are alike by less than the similarity costs the square of its
 size in comparisons of fingerprints, not in rows.
@@ -242,8 +242,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     held, held_path = common.cut(posted.join(shared, "h").join(nodes.select("s", "n", "f"), "s").select("h", "n", "s", "f"), "shared")
     # texts that share no rare shingle are alone; the others carry the label of the component that they are known to be in
     label, label_path = common.cut(held.groupBy("s").agg(F.count(F.lit(1)).alias("deg")).select("s", "deg", F.col("s").alias("label")), "labels")
-    hash_ = F.xxhash64("s", "h")
-    for k, find in enumerate((lambda _: (_neighbours(held), []), lambda x: _stars(x, F.col("deg")), lambda x: _stars(x, hash_), lambda x: _crossed(x, nodes))):
+    for k, find in enumerate((lambda _: (_neighbours(held), []), lambda x: _stars(x, F.col("deg")), lambda x: _crossed(x, nodes))):
         rows_now, rows_path = common.cut(held.join(label, "s"), "keyed") if k else (held, None)
         pairs, paths = find(rows_now)
         links, links_path = _checked(pairs, nodes, rows)
