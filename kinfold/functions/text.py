@@ -15,6 +15,9 @@ LOOKALIKE_DIGITS, LOOKALIKE_LETTERS = "0158634729", "olsbgeatzg"
 SKELETON_FROM, SKELETON_TO = "bcdgjqvwxzaeiouyh", "pktkkkffks"
 
 
+_SOUNDS = {ord(c): SKELETON_TO[k] if k < len(SKELETON_TO) else None for k, c in enumerate(SKELETON_FROM)}
+
+
 def _accents() -> tuple[str, str]:
     """Accented Latin letters and the ASCII letters that they decompose to."""
     pairs = [(c, d[0]) for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()]
@@ -56,6 +59,14 @@ def skeleton(token: Column) -> Column:
     return F.when(token.rlike("^[0-9]+$"), token).otherwise(F.regexp_replace(sound, r"(.)\1+", "$1"))
 
 
+def sound(token: str) -> str:
+    """skeleton() of one token, for functions that run in Python."""
+    if token.isdigit():
+        return token
+    classes = token.replace("ph", "f").translate(_SOUNDS)
+    return "".join(c for k, c in enumerate(classes) if k == 0 or c != classes[k - 1])
+
+
 def skeletons(words: Column) -> Column:
     """Skeletons of two letters at least, of words that are neither numbers nor empty in meaning."""
     own = F.filter(alphabetic(words), lambda t: ~t.isin(*NULL_TOKENS))
@@ -106,6 +117,7 @@ def number_relation(x: Column, y: Column) -> Column:
 
 def address_key(words: Column) -> Column:
     """First canonical number, a bar, and the two longest words of three letters at least, in alphabetical order."""
+    words = F.filter(words, lambda t: ~t.isin(*NULL_TOKENS))
     long = F.filter(F.array_distinct(words), lambda t: t.rlike("^[a-z]+$") & (F.length(t) >= 3))
     by = F.array_sort(F.transform(long, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
     two = F.array_sort(F.transform(F.slice(by, 1, 2), lambda s: s["t"]))
@@ -191,8 +203,8 @@ def record_keys(name: Column, address: Column) -> Column:
 
 
 def key_hash(key: Column) -> Column:
-    """A key as one 64-bit number of two checksums."""
-    return F.shiftleft(F.crc32(key), 32).bitwiseOR(F.crc32(F.reverse(key)))
+    """A key as one signed 64-bit number of two checksums, of its bytes forwards and backwards. Flipping the highest bit takes 2^63 off."""
+    return F.shiftleft(F.crc32(key), 32).bitwiseOR(F.crc32(F.reverse(key))).bitwiseXOR(F.lit(-(1 << 63)))
 
 
 def pair_hash(s1: Column, cand: Column) -> Column:
@@ -204,3 +216,25 @@ def neighbour_number(a: Column, b: Column) -> Column:
     x, y = (F.regexp_extract(c, "^([0-9]{1,11})", 1) for c in (a, b))
     near = (x != "") & (y != "") & ((F.abs(x.try_cast("long") - y.try_cast("long")).between(1, 4)) | ((x == y) & (a != b)))
     return F.when(a.isNull() | b.isNull(), None).otherwise(near.cast("double"))
+
+
+def safe_name(text: Column) -> Column:
+    """A block's name as part of a path: runs of other characters than ASCII letters and digits are one underscore."""
+    out = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+", "_"), F.lit("_"))
+    return F.when(out == "", "UNK").otherwise(out)
+
+
+def grams(text: Column, n: int, tag: str) -> Column:
+    """Runs of n letters, tagged."""
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.concat(F.lit(tag), F.substring(text, i, F.lit(n))))
+    return F.when(F.length(text) >= n, each).otherwise(F.array().cast("array<string>"))
+
+
+def blob(name: Column, address: Column) -> Column:
+    """Three-letter runs of the joined skeletons, four-letter runs of the joined name, and the address's canonical numbers."""
+    return F.concat(grams(F.array_join(skeletons(name), ""), 3, "g:"), grams(F.array_join(name, ""), 4, "h:"), F.transform(numeric(address), lambda d: F.concat(F.lit("d:"), canonical(d))))
+
+
+def pair_key(s1: Column, cand: Column, offset: int = 10_000_000_000) -> Column:
+    """A pair of codes as one decimal number: the first's number, then the second's in ten digits."""
+    return (s1 % offset).cast("decimal(38,0)") * F.lit(offset) + cand % offset

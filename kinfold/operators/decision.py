@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -22,19 +24,28 @@ def threshold(rows: DataFrame, least: float) -> DataFrame:
     return rows.filter(F.col("prob") >= least)
 
 
-def _mass(ps: Column) -> Column:
-    """Chances of 0 to SUPPORT matches among independent ones; more is dropped."""
-    start = F.transform(F.sequence(F.lit(0), F.lit(SUPPORT)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
-    return F.aggregate(ps, start, lambda d, p: F.transform(d, lambda x, i: x * (1 - p) + F.when(i > 0, F.get(d, i - 1)).otherwise(0.0) * p))
-
-
-def _value(ps: Column, k: Column, missed: float) -> Column:
-    """Expected F0.5 of choosing the first k."""
-    n = F.size(ps)
-    inside, outside = _mass(F.slice(ps, F.lit(1), k)), _mass(F.slice(ps, k + 1, F.greatest(n - k, F.lit(0))))
-    pairs = F.transform(inside, lambda pa, a: F.when((pa < TINY) | (a == 0), 0.0).otherwise(F.aggregate(F.transform(outside, lambda pb, b: F.when(pa * pb < TINY, 0.0).otherwise(pa * pb * 1.25 * a / (0.25 * (a + b + missed) + k))), F.lit(0.0), lambda s, v: s + v)))
-    none = F.aggregate(ps, F.lit(1.0), lambda s, p: s * (1 - p)) if missed == 0 else F.lit(0.0)
-    return F.when(k == 0, none).otherwise(F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v))
+def values(lists: list[np.ndarray], missed: float) -> list[np.ndarray]:
+    """For each list of chances the expected F0.5 of choosing its first k, k from 0 on. Chances of 0 to SUPPORT matches are kept as
+    running products from either end, for all lists at once; more matches and combinations below TINY are dropped."""
+    n = max((len(x) for x in lists), default=0)
+    p = np.zeros((len(lists), n))
+    for k, x in enumerate(lists):
+        p[k, : len(x)] = x
+    inside, outside = np.zeros((n + 1, len(lists), SUPPORT + 1)), np.zeros((n + 1, len(lists), SUPPORT + 1))
+    inside[0, :, 0] = outside[n, :, 0] = 1
+    for k in range(n):
+        for after, before, q in ((inside[k + 1], inside[k], p[:, k, None]), (outside[n - 1 - k], outside[n - k], p[:, n - 1 - k, None])):
+            after[:] = before * (1 - q)
+            after[:, 1:] += before[:, :-1] * q
+    out, counts = np.zeros((n + 1, len(lists))), np.arange(SUPPORT + 1.0)
+    out[0] = np.prod(1 - p, axis=1) if missed == 0 else 0.0
+    for k in range(1, n + 1):
+        a, b = inside[k, :, 1 : k + 1], outside[k, :, : n - k + 1]
+        mass = a[:, :, None] * b[:, None, :]
+        mass[(mass < TINY) | (a < TINY)[:, :, None]] = 0
+        tp = counts[1 : a.shape[1] + 1, None]
+        out[k] = np.einsum("xab,ab->x", mass, 1.25 * tp / (0.25 * (tp + counts[None, : b.shape[1]] + missed) + k))
+    return [out[: len(x) + 1, k] for k, x in enumerate(lists)]
 
 
 def expected_f(rows: DataFrame, missed: float = 0.0, most: int = 40, power: float = 1.0) -> DataFrame:
@@ -45,8 +56,13 @@ def expected_f(rows: DataFrame, missed: float = 0.0, most: int = 40, power: floa
     top = rows.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= most)
     per = top.groupBy("s1").agg(F.array_sort(F.collect_list(F.struct("_i", "cand", p.alias("p")))).alias("l"))  # at most most
     per = per.select("s1", F.transform("l", lambda x: x["p"]).alias("ps"), F.transform("l", lambda x: x["cand"]).alias("cs"))
-    values = F.transform(F.sequence(F.lit(0), F.size("ps")), lambda k: F.struct(F.round(_value(F.col("ps"), k, missed), 9).alias("v"), (-k).alias("k")))
-    best = per.withColumn("_b", F.array_max(values))
+
+    @F.pandas_udf("array<double>")
+    def valued(ps: pd.Series) -> pd.Series:
+        return pd.Series(values(list(ps), missed))
+
+    each = F.transform(valued("ps"), lambda v, k: F.struct(F.round(v, 9).alias("v"), (-k).alias("k")))
+    best = per.withColumn("_b", F.array_max(each))
     return best.select("s1", (-F.col("_b.k")).alias("k"), F.col("_b.v").alias("value"), F.slice("cs", F.lit(1), -F.col("_b.k")).alias("cands"))
 
 
@@ -86,11 +102,18 @@ def micro(counts: DataFrame) -> DataFrame:
     return got.select("*", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(1.25 * p * r / (0.25 * p + r), 6).alias("f05"), F.round(2 * p * r / (p + r), 6).alias("f1"))
 
 
-def strict(truth: DataFrame, pred: DataFrame) -> DataFrame:
-    """Entities that are predicted but unknown to truth; evaluation calls for none."""
+def unknown(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """Entities that are predicted but unknown to truth."""
     return pred.select("s1").distinct().join(truth.select("s1").distinct(), "s1", "left_anti")
 
 
+def strict(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """scores(), but an error if an entity is predicted that truth does not know."""
+    if some := unknown(truth, pred).limit(5).collect():
+        raise ValueError(f"entities without truth: {sorted(r['s1'] for r in some)}")
+    return scores(counted(truth, pred))
+
+
 def fold(column: str, n: int, salt: str = "") -> Column:
     """A stable fold of an entity, alike in any engine with MD5."""
     return F.conv(F.substring(F.md5(F.concat(F.col(column).cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("long") % n

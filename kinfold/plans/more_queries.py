@@ -11,7 +11,7 @@ from kinfold.operators import decision, learning, retrieval, similarity, statist
 from kinfold.sources import records as R
 
 from .pair_queries import COUNTS, MACRO, NAMES, jn_name_topk
-from .registry import CS, PAIRS, REC, TRUTH, canonical, first_number, query, words
+from .registry import CS, NULLS, PAIRS, REC, TRUTH, canonical, first_number, query, words
 
 
 @query("key_hash")
@@ -193,8 +193,8 @@ def sim_raw_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("s1", "cand", "ratio", F.round(best - F.col("ratio"), 6).alias("margin"))
 
 
-@query("agg_addr_key_counts", f"""WITH {REC}, k AS (SELECT code, coalesce({canonical(first_number('aw'))}, '') AS num, {first_number('aw')} IS NULL AS none,
-  list_sort(list_transform(list_sort(list_transform(list_filter(list_distinct(aw), lambda w: regexp_full_match(w, '[a-z]+') AND len(w) >= 3), lambda w: {{'n': -len(w), 't': w}}))[1:2], lambda s: s.t)) AS two FROM rec WHERE src = 1)
+@query("agg_addr_key_counts", f"""WITH {REC}, own AS (SELECT code, list_filter(aw, lambda w: w NOT IN {NULLS}) AS aw FROM rec WHERE src = 1), k AS (SELECT code, coalesce({canonical(first_number('aw'))}, '') AS num, {first_number('aw')} IS NULL AS none,
+  list_sort(list_transform(list_sort(list_transform(list_filter(list_distinct(aw), lambda w: regexp_full_match(w, '[a-z]+') AND len(w) >= 3), lambda w: {{'n': -len(w), 't': w}}))[1:2], lambda s: s.t)) AS two FROM own)
 SELECT CASE WHEN none THEN '' ELSE num END || '|' || array_to_string(two, ' ') AS addr_key, count(*) AS n FROM k WHERE NOT (none AND len(two) = 0) GROUP BY addr_key""")
 def agg_addr_key_counts(spark: SparkSession, sf: str) -> DataFrame:
     return statistics.addresses(R.records(spark, sf).filter("src = 1"))

@@ -9,7 +9,7 @@ from kinfold.functions import text as X
 from kinfold.operators import collective, retrieval, similarity, statistics
 from kinfold.sources import records as R
 
-from .registry import CS, REC, TERMS, canonical, first_number, meaningful, normal, query, sounds, words
+from .registry import CS, NULLS, REC, TERMS, canonical, first_number, meaningful, normal, query, sounds, words
 
 @query("src_semi_lookup", f"WITH {REC} SELECT code, name, addr FROM rec WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def src_semi_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,8 +20,7 @@ def src_semi_lookup(spark: SparkSession, sf: str) -> DataFrame:
 @query("src_id_codec", f"WITH {REC} SELECT code, 'S' || src || '-' || lpad(CAST(code % 10000000000 AS VARCHAR), CAST(greatest(5, len(CAST(code % 10000000000 AS VARCHAR))) AS INTEGER), '0') AS id, src AS source, code % 10000000000 AS number FROM rec")
 def src_id_codec(spark: SparkSession, sf: str) -> DataFrame:
     rows = R.records(spark, sf).select("code")
-    number = (F.col("code") % R.OFFSET).cast("string")
-    return rows.select("code", F.concat(F.lit("S"), R.source_of(F.col("code")).cast("string"), F.lit("-"), F.lpad(number, F.greatest(F.lit(5), F.length(number)), F.lit("0"))).alias("id"), R.source_of(F.col("code")).alias("source"), (F.col("code") % R.OFFSET).alias("number"))
+    return rows.select("code", R.encode(F.col("code")).alias("id")).select("code", "id", R.source_of(R.decode(F.col("id"))).alias("source"), (R.decode(F.col("id")) % R.OFFSET).alias("number"))
 
 
 @query("src_gt_explode", "SELECT o_custkey AS s1, o_orderkey AS m FROM orders UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -56,8 +55,8 @@ def txt_canon_num(spark: SparkSession, sf: str) -> DataFrame:
     return R.table(spark, sf, "customer").select("c_custkey", F.get(X.numeric(ws), 0).alias("raw"), X.first_number(ws).alias("canon"))
 
 
-@query("txt_addr_key", f"""WITH {REC}, k AS (SELECT code, coalesce({canonical(first_number('aw'))}, '') AS num, {first_number('aw')} IS NULL AS none,
-  list_sort(list_transform(list_sort(list_transform(list_filter(list_distinct(aw), lambda w: regexp_full_match(w, '[a-z]+') AND len(w) >= 3), lambda w: {{'n': -len(w), 't': w}}))[1:2], lambda s: s.t)) AS two FROM rec)
+@query("txt_addr_key", f"""WITH {REC}, own AS (SELECT code, list_filter(aw, lambda w: w NOT IN {NULLS}) AS aw FROM rec), k AS (SELECT code, coalesce({canonical(first_number('aw'))}, '') AS num, {first_number('aw')} IS NULL AS none,
+  list_sort(list_transform(list_sort(list_transform(list_filter(list_distinct(aw), lambda w: regexp_full_match(w, '[a-z]+') AND len(w) >= 3), lambda w: {{'n': -len(w), 't': w}}))[1:2], lambda s: s.t)) AS two FROM own)
 SELECT code, CASE WHEN none AND len(two) = 0 THEN '' ELSE CASE WHEN none THEN '' ELSE num END || '|' || array_to_string(two, ' ') END AS addr_key FROM k""")
 def txt_addr_key(spark: SparkSession, sf: str) -> DataFrame:
     return R.records(spark, sf).select("code", X.address_key(F.col("at")).alias("addr_key"))

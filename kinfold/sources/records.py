@@ -23,7 +23,9 @@ def decode(entity_id: Column) -> Column:
 
 
 def encode(code: Column) -> Column:
-    return F.concat(F.lit("S"), F.floor(code / OFFSET).cast("string"), F.lit("-"), F.lpad((code % OFFSET).cast("string"), 5, "0"))
+    """The way back: a number of fewer than five digits is padded, a longer one stays whole."""
+    number = (code % OFFSET).cast("string")
+    return F.concat(F.lit("S"), source_of(code).cast("string"), F.lit("-"), F.lpad(number, F.greatest(F.lit(5), F.length(number)), F.lit("0")))
 
 
 def source_of(code: Column) -> Column:

@@ -57,6 +57,51 @@ def test_ratios():
     assert similarity.partial("bhg", "the bhg group") == 100
     assert round(similarity.jaro_winkler("martha", "marhta"), 6) == 0.961111
     assert collective.residual("acme trading co".split(), "acme tradng inc".split()) == (["co"], ["inc"])
+    assert collective.residual("delhi foods".split(), "dillii kitchen".split()) == (["foods"], ["kitchen"])
+    assert collective.residual(["aaa"], ["eee"]) == (["aaa"], ["eee"])  # without consonants there is no skeleton
+
+
+def test_sound(spark):
+    words = ["properties", "praaprttiis", "delhi", "phone", "0012", "aeiou", "xylophone", "a1b2", "bb", ""]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.skeleton(F.col("w")).alias("s")).collect()
+    assert all(X.sound(r["w"]) == r["s"] for r in rows)
+
+
+def test_keys(spark):
+    import zlib
+
+    keys = ["T|prprts|12", "N|a|b", "", "é"]
+    for r in spark.createDataFrame([(k,) for k in keys[:3]], "k string").select("k", X.key_hash(F.col("k")).alias("h")).collect():
+        b = r["k"].encode()
+        assert r["h"] == ((zlib.crc32(b) << 32) | zlib.crc32(b[::-1])) - (1 << 63)
+    assert one(spark, X.address_key(F.split(F.col("a"), " ")), a="unknown 0012 main street none nan") == "12|main street"
+
+
+def test_codec(spark):
+    from kinfold.sources import records as R
+
+    codes = [1 * R.OFFSET + 7, 2 * R.OFFSET + 47, 3 * R.OFFSET + 123_456_789]
+    got = spark.createDataFrame([(c,) for c in codes], "c long").select("c", R.encode(F.col("c")).alias("i")).select("c", "i", R.decode(F.col("i")).alias("d")).collect()
+    assert [r["i"] for r in got] == ["S1-00007", "S2-00047", "S3-123456789"] and all(r["c"] == r["d"] for r in got)
+
+
+def test_files(spark, tmp_path):
+    """Raw records from a TSV file; lists to one and back; nothing is overwritten."""
+    from kinfold.operators import output
+    from kinfold.sources import records as R
+
+    (tmp_path / "raw.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-00001\tNA\t\tIndia\nS2-00012\tnull\t12 A\tUS\n")
+    got = [tuple(r) for r in R.read_tsv(spark, str(tmp_path / "raw.tsv")).orderBy("code").collect()]
+    assert got == [("S1-00001", "NA", "", "India", R.OFFSET + 1), ("S2-00012", "null", "12 A", "US", 2 * R.OFFSET + 12)]
+    entities = spark.createDataFrame([(k, 100 - k) for k in range(20)], "pos long, s1 long")
+    pairs = spark.createDataFrame([(100, 3), (100, 2), (99, 5), (100, 2)], "s1 long, cand long")
+    rows = output.lists(entities, pairs)
+    output.write_lists(rows, str(tmp_path / "out"))
+    back = spark.read.csv(str(tmp_path / "out"), sep="\t", header=True).collect()
+    assert [r["source1_entity_id"] for r in back] == [str(100 - k) for k in range(20)]
+    assert back[0]["matched_entity_ids"] == "2,3" and back[1]["matched_entity_ids"] == "5"
+    with pytest.raises(Exception):
+        output.write_lists(rows, str(tmp_path / "out"))
 
 
 def brute(ps, missed):
@@ -91,7 +136,10 @@ def test_f_beta(spark):
     pred = spark.createDataFrame([(1, 1), (1, 1), (3, 5), (4, 9)], "s1 long, cand long")
     got = {r["s1"]: r["f"] for r in decision.scores(decision.counted(truth, pred)).collect()}
     assert got == {1: 1.0, 2: 1.0, 3: 1.25 / (0.25 * 2 + 1), 4: 0.0}
-    assert decision.strict(truth, spark.createDataFrame([(9, 1)], "s1 long, cand long")).count() == 1
+    assert decision.unknown(truth, spark.createDataFrame([(9, 1)], "s1 long, cand long")).count() == 1
+    with pytest.raises(ValueError):
+        decision.strict(truth, spark.createDataFrame([(9, 1)], "s1 long, cand long"))
+    assert {r["s1"]: r["f"] for r in decision.strict(truth, pred).collect()} == got
 
 
 def test_exclusive_ties(spark):
