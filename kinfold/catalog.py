@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kinfold.plans import more_queries, pair_queries, text_queries
+from kinfold.plans import extra_queries, more_queries, pair_queries, text_queries
 from kinfold.plans.pair_queries import flagship
 from kinfold.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "more_queries", "pair_queries", "text_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "extra_queries", "flagship", "more_queries", "pair_queries", "text_queries"]

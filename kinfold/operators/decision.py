@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -147,3 +149,26 @@ def fixed_gain(truth: DataFrame, pairs: DataFrame, least: float, band: list[floa
     got = per.groupBy("b", "s1").agg(F.sum(said).alias("n_pred"), F.sum(said * F.col("label")).alias("tp"))
     every = n.withColumn("b", F.explode(F.sequence(F.lit(-1), F.lit(len(band))))).join(got, ["b", "s1"], "left").fillna(0)
     return every.groupBy("b").agg(F.round(F.avg(f_beta(F.col("tp"), F.col("n_pred"), F.col("n_true"))), 6).alias("f05"))
+
+
+def bucket(n_true: Column) -> Column:
+    return F.when(n_true == 0, "0").when(n_true == 1, "1").when(n_true <= 3, "2-3").when(n_true <= 6, "4-6").otherwise("7+")
+
+
+def _listed(chosen: DataFrame) -> DataFrame:
+    return chosen.select("s1", F.explode("cands").alias("cand"))
+
+
+def rule_sweep(rows: DataFrame, thresholds: list[float], missed: list[float]) -> DataFrame:
+    """Macro F0.5 of every rule: thresholds on prob, and the best expected prefix for so many missed matches an entity. rows: s1,
+    cand, prob, label."""
+    truth = rows.select("s1", F.when(F.col("label") == 1, F.col("cand")).alias("m"))
+    rules = {f"thr{t}": rows.filter(F.col("prob") >= t).select("s1", "cand") for t in thresholds}
+    rules |= {f"expected{m}": _listed(expected_f(rows.select("s1", "cand", "prob"), m)) for m in missed}
+    parts = [macro(scores(counted(truth, chosen)), []).select(F.lit(name).alias("rule"), "n", "f05") for name, chosen in rules.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def entity_scores(truth: DataFrame, rows: DataFrame) -> DataFrame:
+    """F0.5 of every entity of truth (s1, m) under the rule that writes results; entities without a candidate count too."""
+    return scores(counted(truth, _listed(decided(rows)))).select("s1", F.round("f", 6).alias("f05"))

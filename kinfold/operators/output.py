@@ -53,3 +53,10 @@ def verified(lines: DataFrame, entities: DataFrame) -> DataFrame:
 def write_by_block(rows: DataFrame, path: str, block: str = "country") -> None:
     """Parquet folders by block; the commit protocol shows a reader whole files only."""
     rows.write.partitionBy(block).mode("errorifexists").parquet(path)
+
+
+def counted(lines: DataFrame, entities: DataFrame) -> DataFrame:
+    """Rows, entities, ids and empty rows of written lists (s1, ids), beside the entities that are expected."""
+    ids = F.size(F.filter(F.split("ids", ","), lambda x: x != ""))
+    own = lines.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("s1").alias("n_entities"), F.sum(ids).alias("n_ids"), F.sum((F.col("ids") == "").cast("int")).alias("n_empty"))
+    return own.crossJoin(entities.agg(F.count(F.lit(1)).alias("n_expected")))  # one row each

@@ -137,3 +137,12 @@ def combined(parts: dict[str, DataFrame], how: str = "down") -> DataFrame:
     both = a.select("s1", "cand", F.col("prob").alias("pa")).join(b.select("s1", "cand", F.col("prob").alias("pb")), ["s1", "cand"], "left")
     rule = {"down": F.least("pa", F.coalesce("pb", "pa")), "up": F.greatest("pa", F.coalesce("pb", "pa")), "full": F.coalesce("pb", "pa"), "raw": F.col("pa")}[how]
     return both.select("s1", "cand", rule.alias("prob"))
+
+
+def union_reverse(forward: DataFrame, reverse: DataFrame) -> DataFrame:
+    """Both directions of a retrieval (s1, cand, src, score, rank) as one row a pair: a lacking forward rank is 99, a lacking reverse
+    one 9; ret_score is the forward score, else the reverse one."""
+    f = forward.select("s1", "cand", "src", F.col("score").alias("blk_score"), F.col("rank").alias("blk_rank"))
+    r = reverse.select("s1", "cand", "src", F.col("score").alias("rev_score"), F.col("rank").alias("rev_rank"))
+    both = f.join(r, ["s1", "cand", "src"], "full")
+    return both.select("s1", "cand", "src", "blk_score", F.coalesce("blk_rank", F.lit(99)).alias("blk_rank"), "rev_score", F.coalesce("rev_rank", F.lit(9)).alias("rev_rank"), F.col("blk_score").isNotNull().cast("int").alias("in_fwd"), F.col("rev_score").isNotNull().cast("int").alias("in_rev"), F.coalesce("blk_score", "rev_score").alias("ret_score"))

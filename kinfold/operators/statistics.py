@@ -152,3 +152,21 @@ def gates(rows: DataFrame, a: str, b: str, by: str, least: float = 0.5) -> DataF
 def addresses(rows: DataFrame) -> DataFrame:
     """How many records have each address key; the empty key is none."""
     return rows.select(X.address_key(F.col("at")).alias("addr_key")).filter("addr_key <> ''").groupBy("addr_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def translated(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """rows (key, text) with said, the words of text with those of the dictionary (t, said) replaced; others stay."""
+    words = rows.select(key, F.posexplode(X.tokens(F.col(text))).alias("pos", "t")).join(dictionary, "t", "left")
+    said = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("said", "t").alias("w")))).alias("l"))
+    return rows.select(key).join(said, key, "left").select(key, F.coalesce(F.array_join(F.transform("l", lambda x: x["w"]), " "), F.lit("")).alias("said"))
+
+
+def gate_percentiles(rows: DataFrame, a: str, b: str, by: str) -> DataFrame:
+    """The first and last percentile of the change in logit from score a to score b."""
+
+    def logit(c: str):
+        p = F.least(F.greatest(c, F.lit(1e-7)), F.lit(1 - 1e-7))
+        return F.log(p / (1 - p))
+
+    got = rows.withColumn("d", logit(b) - logit(a))
+    return got.groupBy(by).agg(F.round(F.expr("percentile(d, 0.01)"), 6).alias("p1"), F.round(F.expr("percentile(d, 0.99)"), 6).alias("p99"))

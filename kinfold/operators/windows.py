@@ -124,3 +124,26 @@ def empty_sums(rows: DataFrame) -> DataFrame:
     w = W.Window.partitionBy("s1")
     e, f = F.col("prob") * F.col("empty"), F.col("prob") * (1 - F.col("empty"))
     return rows.select("s1", "cand", F.round(F.sum(e).over(w) - e, D).alias("ent_empty_psum"), F.round(F.sum(f).over(w) - f, D).alias("ent_nonempty_psum"))
+
+
+def looked_up(pairs: DataFrame, forward: DataFrame) -> DataFrame:
+    """Any pairs (s1, cand) with what a forward table (s1, cand, score, rank) says of them: their own score and rank (NULL and 99 if
+    they are not in it) and the competition for their candidate."""
+    own = forward.select("s1", "cand", F.col("score").alias("blk_score"), F.col("rank").alias("blk_rank"))
+    rows = competition_forward(pairs, forward.select("s1", "cand", F.col("score").alias("prob")))
+    return rows.join(own, ["s1", "cand"], "left").withColumn("blk_rank", F.coalesce("blk_rank", F.lit(99)))
+
+
+def recomputed(rows: DataFrame, columns: list[str], by: str = "s1") -> DataFrame:
+    """The context of what is left after pruning, in place of the one that rows carry."""
+    return context(rows.drop("n_cands", *[f"{c}_{k}" for c in columns for k in ("gap", "rank")]), columns, by)
+
+
+def stage_four(rows: DataFrame) -> DataFrame:
+    """rows: s1, cand, p3. Rank (ties share the least), the entity's sum, and the best other: the second largest for a pair that has
+    the largest value."""
+    w = W.Window.partitionBy("s1")
+    got = rows.withColumn("_o", F.row_number().over(w.orderBy(F.desc("p3"), "cand")))
+    second = F.coalesce(F.max(F.when(F.col("_o") == 2, F.col("p3"))).over(w), F.lit(0.0))
+    top = F.max("p3").over(w)
+    return got.select("s1", "cand", "p3", F.rank().over(w.orderBy(F.desc("p3"))).alias("s4_rank"), F.round(F.sum("p3").over(w), D).alias("s4_ent_sum"), F.when(F.col("p3") >= top, second).otherwise(top).alias("s4_best_other"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.shipping import ship
+
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -21,7 +23,11 @@ def widened(df: DataFrame) -> DataFrame:
 
 def query(name: str, sql: str | None = None) -> Callable:
     def register(f: Callable) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: widened(f(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return widened(f(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql:
             ORACLE_SQL[name] = sql
         return f

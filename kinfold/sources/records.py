@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import text as X
 
 OFFSET = 10_000_000_000
+_made: dict[tuple, str] = {}
 RAW = "entity_id string, business_name string, business_address string, country string"
 
 
@@ -36,14 +41,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _written(spark: SparkSession, rows: DataFrame, source: str, name: str) -> DataFrame:
+    """rows, which follow from the files at source alone, written once a session to the shared folder, and read from there as long
+    as those files stay as they are. The folder is spark.checkpoint.dir, or a temporary one where that is unset."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(source)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, source, name, store.getFileStatus(where).getModificationTime(), store.getContentSummary(where).getLength())
+    if key not in _made:
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kinfold-")
+        path = f"{base.rstrip('/')}/kinfold-{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        _made[key] = path
+        atexit.register(_forget, spark, path)
+    return spark.read.schema(rows.schema).parquet(_made[key])
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may already be gone
+        pass
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as records: the block is the language, the source follows from the source's number, the name is the first
-    eight words and the address the rest. nt and at are their words."""
+    eight words and the address the rest. nt and at are their words. Texts are normalised once a session."""
     words = X.tokens(X.normalize(F.col("text")))
     src = (F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % 3 + 1).alias("src")
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("country"), src, words.alias("w"))
     name, address = F.slice("w", 1, 8), F.when(F.size("w") > 8, F.slice("w", F.lit(9), F.greatest(F.size("w") - 8, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    return rows.select("doc_id", (F.col("src").cast("long") * OFFSET + F.col("doc_id")).alias("code"), "src", "country", "text", name.alias("nt"), address.alias("at"), F.array_join(name, " ").alias("name"), F.array_join(address, " ").alias("addr"))
+    rows = rows.select("doc_id", (F.col("src").cast("long") * OFFSET + F.col("doc_id")).alias("code"), "src", "country", "text", name.alias("nt"), address.alias("at"), F.array_join(name, " ").alias("name"), F.array_join(address, " ").alias("addr"))
+    return _written(spark, rows, f"{sf_dir}/documents.parquet", "records")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
