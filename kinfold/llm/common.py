@@ -114,6 +114,19 @@ def spread_join(rows: DataFrame, found: DataFrame, key: str, n: str = "n") -> Da
     return few.unionByName(rest)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker process lives on between tasks, beside others."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

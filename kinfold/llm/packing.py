@@ -136,6 +136,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, wi
             yield from rows()
         packer.finish()
         yield from rows()
+        common.trim()
 
     return docs.select("doc_id", common.text_of().alias("text")).mapInArrow(task, PIECES)
 

@@ -183,6 +183,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, cells: int = CELLS) -> tuple[np.n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(Documents(b.column(1)).patterns()), b.column(0)], ["pattern", "h"])
+        common.trim()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task's part of the sample
@@ -203,6 +204,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, cells: int = CELLS) -> tuple[np.n
                 shares.append(times / max(1, n))
             sizes = pa.array([len(x) for x in columns], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d.patterns()), sizes, pa.array(columns, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["h", "pattern", "n", "columns", "shares"])
+        common.trim()
 
     found = rows.mapInArrow(count, "pattern long, h long").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).collect()  # 3^8 rows at most
     counts = {r["pattern"]: r["n"] for r in found}
@@ -236,6 +238,7 @@ def judged(docs: DataFrame, model: tuple | None = None, added: tuple[str, str] =
         for b in batches:
             score = Documents(b.column(place)).scores(weights, bias)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64()), pa.array(score >= 0)], [*names, *added])
+        common.trim()
 
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.BooleanType())])
     return docs.select(names).mapInArrow(task, schema)

@@ -78,6 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for b in batches:
             f = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f)], ["doc_id", "f"])
+        common.trim()
 
     return docs.select("doc_id", common.text_of().alias("text")).mapInArrow(task, "doc_id long, f long")
 

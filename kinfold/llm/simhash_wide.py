@@ -101,6 +101,7 @@ def _sets(rows: DataFrame, known: np.ndarray) -> DataFrame:
                 first.append(prefix(own, handed.value).view(np.int64))
             marks = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s, f))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), next(marks), pa.array(n, pa.int64()), next(marks), pa.array(odd, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "r", "s", "n", "f", "odd", "prefix"])
+        common.trim()
 
     return rows.select("doc_id", "r", common.text_of().alias("text")).mapInArrow(task, "doc_id long, r long, s long, n long, f long, odd array<long>, prefix array<long>")
 
@@ -201,6 +202,7 @@ def _checked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> tuple[DataF
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both * q >= (len(x) + len(y) - both) * p)
             yield b.filter(pa.array(keep, pa.bool_())).select(names)
+        common.trim()
 
     members = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
     wanted, sought = common.cut(nodes.join(members, "s").select("s", "least.doc_id", "least.r"), "wanted")

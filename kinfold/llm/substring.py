@@ -38,7 +38,7 @@ from .words import Words
 WINDOW, BITS = 13, 62
 LAST_ID = (1 << 63) - 1
 #: Input bytes of a chunk and of a bucket's windows.
-CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 #: Quantiles of doc_id that are asked for at most.
 CUTS = 2000
 #: A chunk's number is its rank times SUBS plus its place among those of its rank.
@@ -135,6 +135,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, text: str | None = None) -> D
         chunk, number = Chunk(table.select(["doc_id", "text"]), window), table.column(ADDED)[0].as_py()
         some, at = chunk.buckets(shift)
         lists = [packed(chunk.hashes[a:b], chunk.checks[a:b]) for a, b in zip(at, at[1:])]  # noqa: B905
+        del chunk
+        common.trim()
         return pa.table({"bucket": pa.array(some, pa.int64()), "chunk": pa.array(np.full(len(some), number), pa.int64()), "hashes": pa.array(lists, pa.binary())})
 
     def judge(table: pa.Table) -> pa.Table:
@@ -149,6 +151,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, text: str | None = None) -> D
         again[by] = ranks[by] > least
         ends = np.cumsum(sizes)
         some = [(int(numbers[k]), np.packbits(bits).tobytes()) for k, bits in ((k, again[e - n : e]) for k, e, n in zip(order, ends, sizes, strict=True)) if bits.any()]
+        del lists, by, fresh, ranks, least, again
+        common.trim()
         return pa.table({ADDED: pa.array([k for k, _ in some], pa.int64()), "bucket": pa.array([bucket] * len(some), pa.int64()), "bits": pa.array([x for _, x in some], pa.binary())})
 
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "intervals", "kept_sha256")]
