@@ -61,7 +61,7 @@ def col_mismatch_idf(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("l2_raw_equality", f"WITH {NAMES} SELECT h.s1, h.cand, CAST(q.text = c.text AS BIGINT) AS raw_eq, CAST(trim(regexp_replace(lower(q.text), '\\s+', ' ', 'g')) = trim(regexp_replace(lower(c.text), '\\s+', ' ', 'g')) AS BIGINT) AS rawl_eq FROM hits h JOIN rec q ON q.code = h.s1 JOIN rec c ON c.code = h.cand")
 def l2_raw_equality(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.records(spark, sf).select("code", "text", F.sha2(X.lowered(F.col("text")), 256).alias("low"), F.sha2("text", 256).alias("raw"))
+    rows = R.texts(spark, sf).select("code", F.sha2(X.lowered(F.col("text")), 256).alias("low"), F.sha2("text", 256).alias("raw"))
     q, c = (rows.select(F.col("code").alias(k), F.col("low").alias(f"{k}_low"), F.col("raw").alias(f"{k}_raw")) for k in ("s1", "cand"))
     return jn_name_topk(spark, sf).select("s1", "cand").join(q, "s1").join(c, "cand").select("s1", "cand", (F.col("s1_raw") == F.col("cand_raw")).cast("int").alias("raw_eq"), (F.col("s1_low") == F.col("cand_low")).cast("int").alias("rawl_eq"))
 
