@@ -12,6 +12,7 @@ from kinfold.sources import records as R
 
 from .pair_queries import COUNTS, MACRO, NAMES, jn_name_topk
 from .registry import CS, NULLS, PAIRS, REC, TRUTH, canonical, first_number, query, words
+from .text_queries import _cs
 
 
 @query("key_hash")
@@ -34,16 +35,11 @@ def sim_counts(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("s1", "cand", F.col("qs").alias("name_ntok_q"), F.col("cs").alias("name_ntok_c"), F.abs(F.col("qs") - F.col("cs")).alias("name_ntok_diff"), "addr_ntok_c", "addr_empty_c", F.when(high == 0, 1.0).otherwise(F.round(low / high, 6)).alias("name_len_ratio"), F.coalesce("s1_name_count", F.lit(0)).alias("s1_name_count"), F.coalesce("cand_name_count_in_s1", F.lit(0)).alias("cand_name_count_in_s1"))
 
 
-def _numbers(spark: SparkSession, sf: str) -> DataFrame:
-    c = R.table(spark, sf, "customer").select(F.col("c_custkey").alias("s1"), F.col("c_nationkey").alias("k"), X.normalize(F.col("c_name")).alias("a"))
-    s = R.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cand"), F.col("s_nationkey").alias("k"), X.normalize(F.col("s_name")).alias("b"))
-    pairs = c.join(s, "k")
-    return pairs.select("s1", "cand", X.first_number(X.tokens(F.col("a"))).alias("x"), X.first_number(X.tokens(F.col("b"))).alias("y"))
-
-
 @query("col_neighbour_number", f"WITH {CS}, n AS (SELECT s1, cand, {canonical(first_number(words('a')))} AS x, {canonical(first_number(words('b')))} AS y FROM cs) SELECT s1, cand, CAST(abs(CAST(x AS BIGINT) - CAST(y AS BIGINT)) BETWEEN 1 AND 4 AS DOUBLE) AS is_neighbor_number FROM n")
 def col_neighbour_number(spark: SparkSession, sf: str) -> DataFrame:
-    return _numbers(spark, sf).select("s1", "cand", X.neighbour_number(F.col("x"), F.col("y")).alias("is_neighbor_number"))
+    rows = _cs(spark, sf, w=lambda name: X.first_number(X.tokens(name)), d=lambda name: X.house_number(X.first_number(X.tokens(name)))[0], n=lambda name: X.house_number(X.first_number(X.tokens(name)))[1])
+    x, y = ((F.col(f"{side}_d"), F.col(f"{side}_n")) for side in "ab")
+    return rows.select("s1", "cand", X.neighbour_number(F.col("a_w"), F.col("b_w"), x, y).alias("is_neighbor_number"))
 
 
 @query("col_mismatch_idf", f"""WITH {NAMES}, t AS (SELECT DISTINCT code, unnest(nt) AS token FROM rec WHERE src = 1), n AS (SELECT count(*) AS n FROM rec WHERE src = 1), i AS (SELECT token, ln(any_value(n) + 1) - ln(count(*) + 1) AS idf FROM t, n GROUP BY token),
