@@ -60,7 +60,7 @@ def test_records_hold_no_text_twice(spark, tmp_path):
 READ = ("rlike", "RLIKE", "split(", "regexp_extract", "regexp_replace", "ltrim")
 
 
-@pytest.mark.parametrize("name", ["sim_digits", "col_neighbour_number", "col_number_distance", "sim_digits_canonical", "sim_idf_overlap"])
+@pytest.mark.parametrize("name", ["sim_digits", "col_neighbour_number", "col_number_distance", "sim_digits_canonical", "sim_idf_overlap", "col_numbers"])
 def test_sides_of_pairs_are_read_before_the_join(spark, name):
     above, *joins = catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")
     assert len(joins) == 1 and not any(r in above for r in READ)
