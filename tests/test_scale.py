@@ -40,7 +40,7 @@ def crowded(spark, tmp_path_factory):
     return str(folder)
 
 
-HITS = ["jn_name_topk"]
+HITS = ["jn_name_topk", "agg_anchor_stats"]
 
 
 @pytest.mark.parametrize("name", HITS)
