@@ -40,7 +40,7 @@ def crowded(spark, tmp_path_factory):
     return str(folder)
 
 
-HITS = ["jn_name_topk", "agg_anchor_stats"]
+HITS = ["jn_name_topk", "agg_anchor_stats", "agg_misses"]
 
 
 @pytest.mark.parametrize("name", HITS)
