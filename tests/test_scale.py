@@ -40,7 +40,7 @@ def crowded(spark, tmp_path_factory):
     return str(folder)
 
 
-HITS = ["jn_name_topk", "agg_anchor_stats", "agg_misses", "agg_recall_at_k", "sim_core_counts", "sim_counts", "sim_raw_ratio", "col_mismatch_idf", "jn_anchor"]
+HITS = ["jn_name_topk", "agg_anchor_stats", "agg_misses", "agg_recall_at_k", "sim_core_counts", "sim_counts", "sim_raw_ratio", "col_mismatch_idf", "jn_anchor", "jn_label_pairs"]
 
 
 @pytest.mark.parametrize("name", HITS)
