@@ -40,7 +40,7 @@ def crowded(spark, tmp_path_factory):
     return str(folder)
 
 
-HITS = ["jn_name_topk", "agg_anchor_stats", "agg_misses", "agg_recall_at_k", "sim_core_counts", "sim_counts", "sim_raw_ratio", "col_mismatch_idf", "jn_anchor", "jn_label_pairs", "agg_union_recall", "jn_addr_topk", "jn_anti_new"]
+HITS = ["jn_name_topk", "agg_anchor_stats", "agg_misses", "agg_recall_at_k", "sim_core_counts", "sim_counts", "sim_raw_ratio", "col_mismatch_idf", "jn_anchor", "jn_label_pairs", "agg_union_recall", "jn_addr_topk", "jn_anti_new", "jn_caddr_topk"]
 
 
 @pytest.mark.parametrize("name", HITS)
