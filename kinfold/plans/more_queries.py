@@ -108,7 +108,7 @@ def agg_fixed_gain(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("agg_anchor_stats", f"WITH {NAMES}, a AS (SELECT q.country, h.s1, count(*) FILTER (WHERE score >= 0.9) AS n, max(score) AS m FROM hits h JOIN rec q ON q.code = h.s1 GROUP BY ALL) SELECT country, count(*) AS n_entities, CAST(sum(CAST(n > 0 AS INT)) AS BIGINT) AS n_with_anchor, round(avg(n), 6) AS mean_anchors, round(avg(m), 6) AS mean_best FROM a GROUP BY country")
 def agg_anchor_stats(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.records(spark, sf).select(F.col("code").alias("s1"), "country")
+    rows = R.names(spark, sf).select(F.col("code").alias("s1"), "country")
     per = jn_name_topk(spark, sf).groupBy("s1").agg(F.sum((F.col("score") >= 0.9).cast("int")).alias("n"), F.max("score").alias("m")).join(rows, "s1")
     return per.groupBy("country").agg(F.count(F.lit(1)).alias("n_entities"), F.sum((F.col("n") > 0).cast("int")).alias("n_with_anchor"), F.round(F.avg("n"), 6).alias("mean_anchors"), F.round(F.avg("m"), 6).alias("mean_best"))
 

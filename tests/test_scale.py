@@ -77,3 +77,20 @@ def test_siblings_carry_codes_not_texts(spark, tmp_path):
     for node in nodes(df._jdf.queryExecution().executedPlan()):
         if "Join" in node.getClass().getSimpleName() and "addr" in node.output().toString().replace("sib_addr", ""):
             assert node.metrics().apply("numOutputRows").value() <= 45
+
+
+#: Queries that need no address, which is most of what is written of a record.
+NAME_QUERIES = ["agg_anchor_stats"]
+
+
+@pytest.mark.parametrize("name", NAME_QUERIES)
+def test_addresses_are_not_written(spark, crowded, name):
+    R._made.clear()
+    catalog.QUERIES[name](spark, crowded).collect()
+    made = [spark.read.parquet(path).columns for path in R._made.values()]
+    assert made and not any("addr" in columns for columns in made)
+
+
+def test_terms_are_sent_as_one_string(spark):
+    plan = catalog.QUERIES["jn_name_topk"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join") == 3  # weights, pool and queries
