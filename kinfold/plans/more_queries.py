@@ -115,9 +115,9 @@ def agg_anchor_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("agg_misses", f"WITH {NAMES}, {TRUTH} SELECT country, count(*) AS n_missed, count(*) FILTER (WHERE rec.addr = '') AS n_missed_empty FROM truth t JOIN rec ON rec.code = t.m WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.s1 = t.s1 AND h.cand = t.m) GROUP BY country")
 def agg_misses(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.records(spark, sf)
+    rows = R.names(spark, sf)
     missed = R.owners(rows).withColumnRenamed("m", "cand").join(jn_name_topk(spark, sf), ["s1", "cand"], "left_anti")
-    return missed.join(rows.select(F.col("code").alias("cand"), "country", "addr"), "cand").groupBy("country").agg(F.count(F.lit(1)).alias("n_missed"), F.sum((F.col("addr") == "").cast("int")).alias("n_missed_empty"))
+    return missed.join(rows.select(F.col("code").alias("cand"), "country", "n_at"), "cand").groupBy("country").agg(F.count(F.lit(1)).alias("n_missed"), F.sum((F.col("n_at") == 0).cast("int")).alias("n_missed_empty"))
 
 
 @query("ml_prune_sweep", f"WITH {PAIRS}, r AS (SELECT unnest([0.05, 0.1, 0.2, 0.4]) AS thr) SELECT CAST(thr AS DOUBLE) AS thr, round(avg(CAST(prob >= thr AS INT)), 6) AS kept, round(sum(CAST(prob >= thr AS INT) * label) / CAST(sum(label) AS DOUBLE), 6) AS recall FROM pr, r GROUP BY thr")
