@@ -80,7 +80,7 @@ def test_siblings_carry_codes_not_texts(spark, tmp_path):
 
 
 #: Queries that need no address, which is most of what is written of a record.
-NAME_QUERIES = ["agg_anchor_stats", "agg_misses"]
+NAME_QUERIES = ["agg_anchor_stats", "agg_misses", "agg_recall_at_k"]
 
 
 @pytest.mark.parametrize("name", NAME_QUERIES)
