@@ -26,10 +26,10 @@ SELECT h.s1, h.cand, CAST(len(q.nt) AS BIGINT) AS name_ntok_q, CAST(len(c.nt) AS
   round(CASE WHEN greatest(len(q.name), len(c.name)) = 0 THEN 1 ELSE least(len(q.name), len(c.name)) / CAST(greatest(len(q.name), len(c.name)) AS DOUBLE) END, 6) AS name_len_ratio, coalesce(a.n, 0) AS s1_name_count, coalesce(b.n, 0) AS cand_name_count_in_s1
 FROM hits h JOIN rec q ON q.code = h.s1 JOIN rec c ON c.code = h.cand LEFT JOIN n a ON a.name = q.name LEFT JOIN n b ON b.name = c.name""")
 def sim_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.records(spark, sf)
+    rows = R.names(spark, sf)
     n = rows.filter("src = 1").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     q = rows.select(F.col("code").alias("s1"), F.col("name").alias("qn"), F.size("nt").alias("qs")).join(n.withColumnsRenamed({"name": "qn", "n": "s1_name_count"}), "qn", "left")
-    c = rows.select(F.col("code").alias("cand"), F.col("name").alias("cn"), F.size("nt").alias("cs"), F.size("at").alias("addr_ntok_c"), (F.col("addr") == "").cast("int").alias("addr_empty_c")).join(n.withColumnsRenamed({"name": "cn", "n": "cand_name_count_in_s1"}), "cn", "left")
+    c = rows.select(F.col("code").alias("cand"), F.col("name").alias("cn"), F.size("nt").alias("cs"), F.col("n_at").alias("addr_ntok_c"), (F.col("n_at") == 0).cast("int").alias("addr_empty_c")).join(n.withColumnsRenamed({"name": "cn", "n": "cand_name_count_in_s1"}), "cn", "left")
     both = jn_name_topk(spark, sf).select("s1", "cand").join(q, "s1").join(c, "cand")
     low, high = F.least(F.length("qn"), F.length("cn")), F.greatest(F.length("qn"), F.length("cn"))
     return both.select("s1", "cand", F.col("qs").alias("name_ntok_q"), F.col("cs").alias("name_ntok_c"), F.abs(F.col("qs") - F.col("cs")).alias("name_ntok_diff"), "addr_ntok_c", "addr_empty_c", F.when(high == 0, 1.0).otherwise(F.round(low / high, 6)).alias("name_len_ratio"), F.coalesce("s1_name_count", F.lit(0)).alias("s1_name_count"), F.coalesce("cand_name_count_in_s1", F.lit(0)).alias("cand_name_count_in_s1"))
