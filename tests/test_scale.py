@@ -80,7 +80,7 @@ def test_siblings_carry_codes_not_texts(spark, tmp_path):
 
 
 #: Queries that need no address, which is most of what is written of a record.
-NAME_QUERIES = ["agg_anchor_stats", "agg_misses", "agg_recall_at_k", "sim_core_counts", "sim_counts", "sim_raw_ratio", "col_mismatch_idf", "jn_anchor", "jn_label_pairs", "agg_union_recall"]
+NAME_QUERIES = ["agg_anchor_stats", "agg_misses", "agg_recall_at_k", "sim_core_counts", "sim_counts", "sim_raw_ratio", "col_mismatch_idf", "jn_anchor", "jn_label_pairs", "agg_union_recall", "jn_anti_new"]
 
 
 @pytest.mark.parametrize("name", NAME_QUERIES)
