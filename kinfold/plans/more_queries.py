@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from kinfold.functions import text as X
-from kinfold.operators import decision, learning, retrieval, similarity, statistics, windows
+from kinfold.operators import crossed, decision, learning, retrieval, similarity, statistics, windows
 from kinfold.sources import records as R
 
 from .pair_queries import COUNTS, MACRO, NAMES, jn_name_topk
 from .registry import CS, NULLS, PAIRS, REC, TRUTH, canonical, first_number, query, words
-from .text_queries import _cs
+from .text_queries import _valued_sides
 
 
 @query("key_hash")
@@ -37,9 +37,8 @@ def sim_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("col_neighbour_number", f"WITH {CS}, n AS (SELECT s1, cand, {canonical(first_number(words('a')))} AS x, {canonical(first_number(words('b')))} AS y FROM cs) SELECT s1, cand, CAST(abs(CAST(x AS BIGINT) - CAST(y AS BIGINT)) BETWEEN 1 AND 4 AS DOUBLE) AS is_neighbor_number FROM n")
 def col_neighbour_number(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _cs(spark, sf, w=lambda name: X.first_number(X.tokens(name)), d=lambda name: X.house_number(X.first_number(X.tokens(name)))[0], n=lambda name: X.house_number(X.first_number(X.tokens(name)))[1])
-    x, y = ((F.col(f"{side}_d"), F.col(f"{side}_n")) for side in "ab")
-    return rows.select("s1", "cand", X.neighbour_number(F.col("a_w"), F.col("b_w"), x, y).alias("is_neighbor_number"))
+    c, s = _valued_sides(spark, sf, w=lambda name: X.first_number(X.tokens(name)), d=lambda name: X.house_number(X.first_number(X.tokens(name)))[0], n=lambda name: X.house_number(X.first_number(X.tokens(name)))[1])
+    return crossed.pairs(c, s, crossed.neighbours, {"is_neighbor_number": "double"})
 
 
 @query("col_mismatch_idf", f"""WITH {NAMES}, t AS (SELECT DISTINCT code, unnest(nt) AS token FROM rec WHERE src = 1), n AS (SELECT count(*) AS n FROM rec WHERE src = 1), i AS (SELECT token, ln(any_value(n) + 1) - ln(count(*) + 1) AS idf FROM t, n GROUP BY token),
