@@ -44,7 +44,7 @@ def _listed(rows: DataFrame, by: str) -> DataFrame:
 def pairs(left: DataFrame, right: DataFrame, score: Callable, columns: dict[str, str], by: str = "k") -> DataFrame:
     """left: s1, by and columns of its own; right: cand, by and others. All pairs of equal by: s1, cand and columns (name: type), which
     score makes of the columns of either side (Arrow arrays by name): a matrix each, or a matrix of values and one of what is null."""
-    spread = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the result is far larger than what is dealt
     a = _listed(left, by).withColumn("part", F.pmod(F.xxhash64(F.get("s1", 0)), F.lit(PARTS)).cast("int")).repartition(spread, by, "part")
     b = _listed(right, by).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     own, other = [c for c in left.columns if c not in ("s1", by)], [c for c in right.columns if c not in ("cand", by)]
