@@ -16,7 +16,7 @@ from . import similarity
 #: A list holds so many rows of a block at most, so a matrix the square of it. A block's left lists are dealt to so many parts.
 ROWS, PARTS, D = 512, 16, 6
 #: Scores of so many pairs of values are remembered in a Python worker.
-KEPT = 1 << 20
+KEPT = 1 << 19
 
 
 def _listed(rows: DataFrame, by: str) -> DataFrame:
