@@ -86,7 +86,7 @@ def test_matrices_give_what_expressions_give(spark, folder, name):
 
 
 #: Queries whose pairs are made by matrices.
-MATRICES = ["col_neighbour_number", "col_number_distance", "sim_jaro_winkler", "sim_digits_canonical", "sim_idf_overlap", "sim_ratio"]
+MATRICES = ["col_neighbour_number", "col_number_distance", "sim_jaro_winkler", "sim_digits_canonical", "sim_idf_overlap", "sim_ratio", "col_numbers"]
 
 
 @pytest.mark.parametrize("name", MATRICES)
