@@ -1,6 +1,7 @@
 """Work and disk of queries grow with their input and their result, not with what lies between."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinfold import catalog
 from kinfold.sources import records as R
@@ -94,3 +95,34 @@ def test_addresses_are_not_written(spark, crowded, name):
 def test_terms_are_sent_as_one_string(spark):
     plan = catalog.QUERIES["jn_name_topk"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_join") == 3  # weights, pool and queries
+
+
+def test_pairs_are_learned_from_as_tallies(spark, tmp_path):
+    """40 copies of the pairs with other keys: models learn from few rows with numbers, and pairs are shuffled at most twice."""
+    from kinfold.operators import learning
+
+    rows = spark.read.parquet(f"{FOLDER}/lineitem.parquet").filter("l_orderkey < 40").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    rows = rows.withColumns({"l_orderkey": F.col("l_orderkey") + F.col("i") * 1_000_000, "l_partkey": F.col("l_partkey") + F.col("i") * 1_000_000}).drop("i")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    from kinfold.plans.pair_queries import _features
+
+    pairs, features = _features(spark, str(tmp_path))
+    data, path = learning.tallied(pairs, features, learning.binned(pairs, features))
+    assert data.agg(F.sum("n")).first()[0] == pairs.count() > 5 * data.count()
+    R.forget(spark, path)
+    df = catalog.QUERIES["ml_oof"](spark, str(tmp_path))
+    assert df.count() == pairs.count() and not [n for n in nodes(df._jdf.queryExecution().executedPlan()) if "ShuffleExchange" in n.getClass().getSimpleName()]
+
+
+def test_pairs_in_turns(spark, monkeypatch):
+    """Features of several turns are those of one, and of the window and the join over all pairs."""
+    from kinfold.operators import windows
+    from kinfold.plans.pair_queries import _features
+
+    monkeypatch.setattr(R, "TURN_ROWS", 2_000)
+    R._made.clear()
+    got, features = _features(spark, FOLDER)
+    want = windows.context(windows.competition(R.scored(spark, FOLDER).select("s1", "cand", "prob", "label")), ["prob"])
+    columns = ["s1", "cand", "label", *features]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    R._made.clear()
