@@ -1,11 +1,15 @@
 """Work and disk of queries grow with their input and their result, not with what lies between."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from kinfold import catalog
 from kinfold.sources import records as R
 
+from compare import cells, oracle
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -126,3 +130,34 @@ def test_pairs_in_turns(spark, monkeypatch):
     columns = ["s1", "cand", "label", *features]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
     R._made.clear()
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark):
+    shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = shuffles.size()
+    got, path = R.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert got.count() == 7 and spark.conf.get(R.CLEAN, None) != "true"
+    R.forget(spark, path)
+    R.cut(spark.range(1000).groupBy((F.col("id") % 5).alias("k")).count(), "test")
+    assert shuffles.size() <= before + 1  # that of count()
+
+
+@pytest.mark.parametrize("name, searches, kept", [("jn_anchor", 1, "anchors"), ("jn_anti_new", 1, "name-hits")])
+def test_hits_are_sent_as_lists_of_one_search_at_a_time(spark, copied, name, searches, kept):
+    """Groups of copies in which a record is not among its own best: what SQL gives, with one row a query sent."""
+    R._made.clear()
+    df = catalog.QUERIES[name](spark, copied)
+    assert cells(df.toPandas()) == cells(oracle(catalog.ORACLE_SQL[name], copied, ["documents"]))
+    found = [n for n in nodes(df._jdf.queryExecution().executedPlan()) if "FlatMapGroupsInArrow" in n.getClass().getSimpleName()]
+    assert len(found) == searches and all("cands" in n.output().toString() for n in found)
+    assert kept in {key[2] for key in R._made}
+
+
+@pytest.fixture(scope="module")
+def copied(tmp_path_factory):
+    """30 names of 4, 8 or 12 copies each, dealt to three sources, and names that share words with them."""
+    folder = tmp_path_factory.mktemp("copied")
+    names = [f"walnut{k % 3} street{k % 5} house{k} shop{k % 7}" for k in range(30)]
+    rows = [f"{n} {'annex' if i % 4 == 3 else ''}" for k, n in enumerate(names) for i in range(4 * (1 + k % 3))]
+    pq.write_table(pa.table({"doc_id": range(len(rows)), "text": rows, "lang": ["en"] * len(rows), "source": [f"s{i * 7 % 3}" for i in range(len(rows))], "n_chars": [9] * len(rows)}), f"{folder}/documents.parquet")
+    return str(folder)
