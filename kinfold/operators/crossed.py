@@ -15,6 +15,8 @@ from . import similarity
 
 #: A list holds so many rows of a block at most, so a matrix the square of it. A block's left lists are dealt to so many parts.
 ROWS, PARTS, D = 512, 16, 6
+#: Lists of lists meet in parts of so many pairs of values, or of single rows.
+CELLS = 1 << 22
 #: Scores of so many pairs of values are remembered in a Python worker.
 KEPT = 1 << 19
 
@@ -48,7 +50,7 @@ def pairs(left: DataFrame, right: DataFrame, score: Callable, columns: dict[str,
     a = _listed(left, by).withColumn("part", F.pmod(F.xxhash64(F.get("s1", 0)), F.lit(PARTS)).cast("int")).repartition(spread, by, "part")
     b = _listed(right, by).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     own, other = [c for c in left.columns if c not in ("s1", by)], [c for c in right.columns if c not in ("cand", by)]
-    kinds = {"double": pa.float64(), "bigint": pa.int64()}
+    kinds = {"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,6 +61,7 @@ def pairs(left: DataFrame, right: DataFrame, score: Callable, columns: dict[str,
                 out = [pa.array(np.repeat(s1, len(cand)), pa.int64()), pa.array(np.tile(cand, len(s1)), pa.int64())]
                 for c, kind in columns.items():
                     value, null = got[c] if isinstance(got[c], tuple) else (got[c], None)
+                    null = null if null is not None and null.any() else None
                     out.append(pa.array(value.ravel().astype(kinds[kind].to_pandas_dtype(), copy=False), kinds[kind], mask=None if null is None else null.ravel()))
                 yield pa.RecordBatch.from_arrays(out, ["s1", "cand", *columns])
 
@@ -125,6 +128,125 @@ def overlaps(x: dict, y: dict) -> dict:
     return out
 
 
+def _equals(p: list, q: list) -> np.ndarray:
+    """Where values are equal; None is equal to nothing."""
+    code: dict = {}
+    x, y = (np.array([none if v is None else code.setdefault(v, len(code)) for v in side], np.int32) for side, none in ((p, -1), (q, -2)))
+    return ~_differ(x, y)
+
+
+def _cuts(p: list[str], q: list[str]) -> np.ndarray:
+    """Where one string is the other without its first or its last letter."""
+    (a, b), (c, d) = ([[s[1:] if s else None for s in v], [s[:-1] if s else None for s in v]] for v in (p, q))
+    return _equals(p, c) | _equals(p, d) | _equals(a, q) | _equals(b, q)
+
+
+def _edits(p: list[str], q: list[str]) -> np.ndarray:
+    """Where one insertion, deletion or replacement at most makes one string of the other. Different strings on either side."""
+    left, right = ({s: k for k, s in enumerate(v)} for v in (p, q))
+    out, less = np.zeros((len(p), len(q)), bool), {}  # less: right strings without their k-th letter
+    for j, b in enumerate(q):
+        if (i := left.get(b)) is not None:
+            out[i, j] = True
+        for k in range(len(b)):
+            rest = b[:k] + b[k + 1 :]
+            less.setdefault((k, rest), []).append(j)
+            if (i := left.get(rest)) is not None:
+                out[i, j] = True
+    for i, a in enumerate(p):
+        for k in range(len(a)):
+            rest = a[:k] + a[k + 1 :]
+            if (js := less.get((k, rest))) is not None:
+                out[i, js] = True
+            if (j := right.get(rest)) is not None:
+                out[i, j] = True
+    return out
+
+
+def _of_lists(m: np.ndarray, at: np.ndarray, sizes: np.ndarray, f: np.ufunc, axis: int, kind: type) -> np.ndarray:
+    """f over the rows (axis 0) or columns of m that each list has, 0 for an empty list. at: those of all lists, one after another."""
+    if (sizes == 1).all():
+        return m.take(at, axis).astype(kind, copy=False)
+    out = np.zeros((len(sizes), m.shape[1]) if axis == 0 else (m.shape[0], len(sizes)), kind)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        got = f.reduceat(m.take(at, axis), (np.cumsum(sizes) - sizes)[some], axis, dtype=kind)
+        out[some if axis == 0 else (slice(None), some)] = got
+    return out
+
+
+def _firsts(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each list's first; any one for an empty list."""
+    return np.append(at, 0)[np.minimum(np.cumsum(sizes) - sizes, len(at))]
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def listed(score: Callable, size: Callable) -> Callable:
+    """score, for parts of the lists whose sizes, size(x, y) for either side, make CELLS pairs of values at most, or single rows."""
+
+    def parts(x: dict, y: dict) -> dict:
+        n, m = size(x, y)
+        a, b = max(len(n), int(n.sum())), max(len(m), int(m.sum()))
+        if a * b <= CELLS or len(n) == len(m) == 1:
+            return score(x, y)
+        axis = 0 if len(m) == 1 or (len(n) > 1 and a >= b) else 1
+        half = len((n, m)[axis]) // 2
+        cut = [{c: v.slice(*s) for c, v in (x, y)[axis].items()} for s in ((0, half), (half,))]
+        got = [parts(*((k, y) if axis == 0 else (x, k))) for k in cut]
+        return {c: tuple(np.concatenate(v, axis) for v in zip(*(g[c] for g in got), strict=True)) for c in got[0]}
+
+    return parts
+
+
+def _facts(lists: pa.Array) -> tuple[tuple, np.ndarray, np.ndarray]:
+    """Different number_facts() of all lists as lists of their fields, which of these the lists have, and how many each. All follows from
+    raw."""
+    flat = lists.flatten()
+    fields = {f.name: v for f, v in zip(flat.type, flat.flatten(), strict=True)}
+    coded = fields["raw"].dictionary_encode()
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    first = pa.array(np.unique(at, return_index=True)[1])
+    return tuple(fields[c].take(first).to_pylist() for c in ("raw", "can", "plain", "digits")), at, _sizes(lists)
+
+
+def _relations(x: tuple, y: tuple) -> np.ndarray:
+    """functions.text.number_relation() of different number_facts()."""
+    (raw, can, plain, digits), (raw2, can2, plain2, digits2) = x, y
+    a, b = (list(dict.fromkeys(v)) for v in (can, can2))
+    at = np.ix_(*(np.array([*map({s: k for k, s in enumerate(u)}.get, v)], np.int64) for u, v in ((a, can), (b, can2))))
+    out = np.where(_edits(a, b), np.uint8(4), np.uint8(5))[at]
+    both = np.outer(np.array(plain, bool), np.array(plain2, bool))
+    out[~both & _equals(digits, digits2)] = 3
+    out[both & (_cuts(raw, raw2) | _cuts(a, b)[at])] = 2
+    out[_equals(can, can2)] = 1
+    return out
+
+
+def _numbers_of_lists(x: dict, y: dict) -> dict:
+    (p, i, n), (q, j, m) = _facts(x["a_n"]), _facts(y["b_n"])
+    shape = (len(n), len(m))
+    related, no = np.zeros(shape, np.int64), (n == 0)[:, None] | (m == 0)[None, :]
+    missed, extra, alpha = (np.zeros(shape, np.int64) for _ in range(3))
+    if len(i) and len(j):
+        rel = _relations(p, q)
+        related = rel[_firsts(i, n)][:, _firsts(j, m)].astype(np.int64)
+        near, letters = rel <= 3, ~np.array(q[2], bool)
+        missed = _of_lists(~_of_lists(near, j, m, np.logical_or, 1, bool), i, n, np.add, 0, np.int64)
+        lone = ~_of_lists(near, i, n, np.logical_or, 0, bool)
+        extra = _of_lists(lone, j, m, np.add, 1, np.int64)
+        alpha = _of_lists(lone & letters[None, :], j, m, np.add, 1, np.int64) if letters.any() else alpha
+    some = np.zeros(shape, bool)
+    of = {"anum_n_q": np.broadcast_to(n[:, None], shape), "anum_n_c": np.broadcast_to(m[None, :], shape), "anum_first_rel": related, "anum_q_miss": missed, "anum_c_extra": extra, "anum_c_alpha_extra": alpha}
+    return {c: (v, some if c in ("anum_n_q", "anum_n_c") else no) for c, v in of.items()}
+
+
+#: collective.numbers() of number_facts() a_n and b_n.
+numbers = listed(_numbers_of_lists, lambda x, y: (_sizes(x["a_n"]), _sizes(y["b_n"])))
+
+
 def _frozen(value):
     if isinstance(value, dict):
         return tuple(_frozen(v) for v in value.values())
@@ -172,28 +294,6 @@ def _cut(a: str, b: str) -> bool:
     return len(high) - len(low) == 1 and (high.startswith(low) or high.endswith(low))
 
 
-@functools.lru_cache(KEPT)
-def relation(x: tuple, y: tuple) -> int:
-    """functions.text.number_relation() of two of number_facts()."""
-    (raw, can, plain, digits), (raw2, can2, plain2, digits2) = x, y
-    if can == can2:
-        return 1
-    if plain and plain2:
-        if _cut(raw, raw2) or _cut(can, can2):
-            return 2
-    elif digits == digits2:
-        return 3
-    return 4 if _one_edit(can, can2) else 5
-
-
-def numbers(q: tuple, c: tuple) -> tuple:
-    """collective.numbers() of a pair's number_facts()."""
-    if not q or not c:
-        return len(q), len(c), None, None, None, None
-    extra = [x for x in c if not any(relation(x, y) <= 3 for y in q)]
-    return len(q), len(c), relation(q[0], c[0]), sum(not any(relation(x, y) <= 3 for y in c) for x in q), len(extra), sum(not x[2] for x in extra)
-
-
 @functools.lru_cache(KEPT)
 def _number_alike(a: str, b: str) -> float:
     """functions.text.number_similarity()."""

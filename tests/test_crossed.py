@@ -1,11 +1,14 @@
 """All pairs of a nation: what the matrices give is what the column expressions give, and no join makes the pairs."""
 
+import sys
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kinfold import catalog
 from kinfold.functions import text as X
-from kinfold.operators import collective, similarity
+from kinfold.operators import collective, crossed, similarity
 from kinfold.plans import text_queries as T
 
 from test_scale import FOLDER, joined
@@ -92,3 +95,39 @@ MATRICES = ["col_neighbour_number", "col_number_distance", "sim_jaro_winkler", "
 @pytest.mark.parametrize("name", MATRICES)
 def test_pairs_are_no_rows_of_a_join(spark, folder, name):
     assert joined(catalog.QUERIES[name](spark, folder)) < 5_000
+
+
+def scores(monkeypatch, spark, name, left, right):
+    """What a query's score makes of two lists of names, as rows, and how many functions it calls in Python."""
+    held, real = {}, crossed.pairs
+    monkeypatch.setattr(crossed, "pairs", lambda a, b, score, columns: held.update(a=a, b=b, score=score, columns=columns) or real(a, b, score, columns))
+    monkeypatch.setattr(T, "_sides", lambda s, d: tuple(s.createDataFrame([(k, 1, n) for k, n in enumerate(names)], f"{code} long, k long, {c} string") for names, code, c in ((left, "s1", "a"), (right, "cand", "b"))))
+    catalog.QUERIES[name](spark, FOLDER)
+    x, y = ({c: t[c].combine_chunks() for c in t.column_names} for t in (held[side].coalesce(1).toArrow() for side in "ab"))
+    x, y = ({c: v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for c, v in side.items()} for side in (x, y))
+    calls = [0]
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event == "call")))
+    got = held["score"](x, y)
+    sys.setprofile(None)
+    both = [got[c] if isinstance(got[c], tuple) else (got[c], None) for c in held["columns"]]
+    return [[tuple(None if null is not None and null[i, j] else v[i, j] for v, null in both) for j in range(len(right))] for i in range(len(left))], calls[0]
+
+
+def calls_of_different(monkeypatch, spark, name):
+    left, right = [f"customer {k:09}" for k in range(7, 90_000, 300)], [f"supplier {k:09}" for k in range(3, 60_000, 200)]
+    got, calls = scores(monkeypatch, spark, name, left, right)
+    assert calls < len(left) * len(right) / 10
+    return left, right, got
+
+
+@pytest.mark.parametrize("name", ["col_numbers"])
+def test_different_numbers_cost_no_call_a_pair(monkeypatch, spark, name):
+    calls_of_different(monkeypatch, spark, name)
+
+
+@pytest.mark.parametrize("name", ["col_numbers"])
+def test_parts_of_lists_give_what_the_whole_gives(monkeypatch, spark, name):
+    names = [n for n in NAMES if n is not None]
+    whole, _ = scores(monkeypatch, spark, name, names, names[::-1])
+    monkeypatch.setattr(crossed, "CELLS", 5, raising=False)
+    assert scores(monkeypatch, spark, name, names, names[::-1])[0] == whole
