@@ -128,6 +128,12 @@ def overlaps(x: dict, y: dict) -> dict:
     return out
 
 
+def _different(values: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Different strings, and where each row's is among them; null is empty."""
+    coded = values.fill_null("").dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
 def _equals(p: list, q: list) -> np.ndarray:
     """Where values are equal; None is equal to nothing."""
     code: dict = {}
@@ -247,6 +253,41 @@ def _numbers_of_lists(x: dict, y: dict) -> dict:
 numbers = listed(_numbers_of_lists, lambda x, y: (_sizes(x["a_n"]), _sizes(y["b_n"])))
 
 
+def _bare(values: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """first and bare of digits()."""
+    fields = {f.name: v for f, v in zip(values.type, values.flatten(), strict=True)}
+    return fields["first"], fields["bare"]
+
+
+def _digits_of_lists(x: dict, y: dict) -> dict:
+    (first, p), (other, q) = _bare(x["a_n"]), _bare(y["b_n"])
+    (p, i), n, (q, j), m = _different(p.flatten()), _sizes(p), _different(q.flatten()), _sizes(q)
+    shape = (len(n), len(m))
+    none = np.zeros(shape, bool)
+    same, jaccard, best, begin = np.zeros(shape, np.int64), np.zeros(shape), np.zeros(shape), np.zeros(shape)
+    if len(i) and len(j):
+        some, equal = (n > 0)[:, None] & (m > 0)[None, :], _equals(p, q)
+        like = np.zeros(equal.shape, np.uint8)  # how alike: 1 by an edit, 2 cut, 3 equal
+        like[_edits(p, q)] = 1
+        like[_cuts(p, q)] = 2
+        like[equal] = 3
+        level = np.array([0.0, 0.6, 0.8, 1.0])
+        most = _of_lists(like, j, m, np.maximum, 1, np.uint8)
+        begin = np.where(some, level[most[_firsts(i, n)]], 0.0)
+        best = level[_of_lists(most, i, n, np.maximum, 0, np.uint8)]
+        same = (some & ~_differ(*_codes(first, other))).astype(np.int64)
+        if equal.any():
+            both = _of_lists(_of_lists(equal, j, m, np.add, 1, np.int64), i, n, np.add, 0, np.int64)
+            at = np.nonzero(both)
+            shares, of = np.unique(both[at] / (n[at[0]] + m[at[1]] - both[at]), return_inverse=True)
+            jaccard[at] = np.array([float(Decimal(repr(float(s))).quantize(Decimal("1e-6"), ROUND_HALF_UP)) for s in shares])[of]
+    return {c: (v, none) for c, v in (("dig_first_eq", same), ("digz_jaccard", jaccard), ("digz_best_sim", best), ("digz_first_sim", begin))}
+
+
+#: similarity.canonical_digits() of digits() a_n and b_n.
+digits = listed(_digits_of_lists, lambda x, y: (_sizes(_bare(x["a_n"])[1]), _sizes(_bare(y["b_n"])[1])))
+
+
 def _frozen(value):
     if isinstance(value, dict):
         return tuple(_frozen(v) for v in value.values())
@@ -277,36 +318,3 @@ def valued(a: str, b: str, one: Callable, columns: dict[str, str]) -> Callable:
 def alike(kinds: tuple[str, ...], a: str | None, b: str | None) -> tuple:
     """These kernels of similarity, of two strings; null is empty."""
     return tuple(round(similarity.KERNELS[k](a or "", b or ""), D) for k in kinds)
-
-
-def _one_edit(a: str, b: str) -> bool:
-    """Whether one insertion, deletion or replacement at most makes a of b."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
-
-
-def _cut(a: str, b: str) -> bool:
-    low, high = (a, b) if len(a) < len(b) else (b, a)
-    return len(high) - len(low) == 1 and (high.startswith(low) or high.endswith(low))
-
-
-@functools.lru_cache(KEPT)
-def _number_alike(a: str, b: str) -> float:
-    """functions.text.number_similarity()."""
-    return 1.0 if a == b else 0.8 if _cut(a, b) else 0.6 if _one_edit(a, b) else 0.0
-
-
-def digits(x: tuple, y: tuple) -> tuple:
-    """similarity.canonical_digits() of a pair's digits()."""
-    (first, p), (other, q) = x, y
-    if not p or not q:
-        return 0, 0.0, 0.0, 0.0
-    both = len(set(p) & set(q))
-    share = both / (len(p) + len(q) - both)
-    jaccard = share if share in (0.0, 1.0) else float(Decimal(repr(share)).quantize(Decimal("1e-6"), ROUND_HALF_UP))
-    to_first = max(_number_alike(p[0], b) for b in q)
-    return int(first == other), jaccard, max(to_first, *(_number_alike(a, b) for a in p for b in q)), to_first

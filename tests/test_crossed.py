@@ -120,12 +120,12 @@ def calls_of_different(monkeypatch, spark, name):
     return left, right, got
 
 
-@pytest.mark.parametrize("name", ["col_numbers"])
+@pytest.mark.parametrize("name", ["col_numbers", "sim_digits_canonical"])
 def test_different_numbers_cost_no_call_a_pair(monkeypatch, spark, name):
     calls_of_different(monkeypatch, spark, name)
 
 
-@pytest.mark.parametrize("name", ["col_numbers"])
+@pytest.mark.parametrize("name", ["col_numbers", "sim_digits_canonical"])
 def test_parts_of_lists_give_what_the_whole_gives(monkeypatch, spark, name):
     names = [n for n in NAMES if n is not None]
     whole, _ = scores(monkeypatch, spark, name, names, names[::-1])
