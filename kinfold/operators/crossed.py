@@ -15,10 +15,13 @@ from . import similarity
 
 #: A list holds so many rows of a block at most, so a matrix the square of it. A block's left lists are dealt to so many parts.
 ROWS, PARTS, D = 512, 16, 6
-#: Lists of lists meet in parts of so many pairs of values, or of single rows.
-CELLS = 1 << 22
+#: Strings of so many letters at most are compared as bits of a number, longer ones by a call a pair. Lists of lists meet in parts of so
+#: many pairs of values, or of single rows.
+LETTERS, CELLS = 64, 1 << 22
 #: Scores of so many pairs of values are remembered in a Python worker.
 KEPT = 1 << 19
+#: So many left strings at a time, so that their matrices stay in a core's cache.
+BLOCK = 128
 
 
 def _listed(rows: DataFrame, by: str) -> DataFrame:
@@ -134,6 +137,113 @@ def _different(values: pa.Array) -> tuple[list[str], np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
 
 
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """round() of each value to D digits; numpy's alone errs close to halves."""
+    up = x * 10.0**D
+    out = np.rint(up)
+    np.subtract(up, out, out=up)
+    half = np.abs(up, out=up) > 0.4999
+    out /= 10.0**D
+    if half.any():
+        values, at = np.unique(x[half], return_inverse=True)
+        out[half] = np.array([round(float(v), D) for v in values])[at]
+    return out
+
+
+def _lengths(p: list[str]) -> np.ndarray:
+    return np.array([*map(len, p)], np.int64)
+
+
+def _letters(p: list[str], q: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Letters of either side's strings as numbers, a row a string, and how many there are. 0 and 1 stand behind the end, of the left and
+    of the right."""
+    sizes = _lengths([*p, *q])
+    width = int(sizes.max())
+    points = np.array([*p, *q], f"<U{max(1, width)}").view(np.uint32).reshape(len(sizes), -1)[:, :width]
+    seen = np.zeros(int(points.max(initial=0)) + 1, bool)
+    seen[points] = True
+    codes = (np.cumsum(seen) + 1)[points]
+    codes[np.arange(width) >= sizes[:, None]] = 1
+    left = codes[: len(p)]
+    left[np.arange(width) >= sizes[: len(p), None]] = 0
+    return left, codes[len(p) :], int(seen.sum()) + 2
+
+
+def _masks(codes: np.ndarray, n: int, lengths: np.ndarray) -> np.ndarray:
+    """For each of n letters (rows) and string (columns) the places that have the letter, as bits."""
+    width = codes.shape[1]
+    kind = np.uint16 if width <= 16 else np.uint32 if width <= 32 else np.uint64
+    masks = np.zeros((n, len(codes)), kind)
+    for k in range(width):
+        own = np.flatnonzero(lengths > k)
+        masks[codes[own, k], own] |= kind(1 << k)
+    return masks
+
+
+def _starts(codes: np.ndarray, new: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray | None, np.ndarray]]:
+    """For each place in sorted strings: the place, the letters of the different starts up to it, of which shorter start each is (None: of
+    its own alone), and of which start each string is. new: where strings begin that share nothing with those before."""
+    new, before = new.copy(), np.cumsum(new) - 1
+    for k in range(codes.shape[1]):
+        had = int(before[-1]) + 1
+        new[1:] |= codes[1:, k] != codes[:-1, k]
+        first, at = np.flatnonzero(new), np.cumsum(new) - 1
+        yield k, codes[first, k], None if len(first) == had else before[first], at
+        before = at
+
+
+def _ratios(p: list[str], q: list[str]) -> np.ndarray:
+    """similarity.ratio() of sorted strings p and others q: the bits of lcs() for all q at once, and once for what p begin with alike."""
+    (x, y, kinds), n, m = _letters(p, q), _lengths(p), _lengths(q)
+    masks, out = _masks(y, kinds, m), np.empty((len(p), len(q)))
+    for r in range(0, len(p), BLOCK):
+        v = np.full((1, len(q)), ~masks.dtype.type(0))
+        for _, letters, of, _ in _starts(x[r : r + BLOCK], np.arange(len(x[r : r + BLOCK])) == 0):
+            if of is not None:
+                v = v.take(of, 0)
+            u = masks.take(letters, 0)
+            u &= v
+            up = v + u
+            v ^= u
+            v |= up
+        total = n[r : r + BLOCK, None] + m[None, :]
+        got = np.multiply(np.bitwise_count(np.invert(v, out=v)), 200.0, out=out[r : r + BLOCK])
+        got /= np.maximum(total, 1)
+        got[total == 0] = 100.0
+    return out
+
+
+#: Kernels of similarity as matrices, with what they compare of each string.
+ALIKE: dict[str, tuple[Callable, Callable]] = {"ratio": (_ratios, str), "tsort": (_ratios, lambda s: " ".join(sorted(s.split())))}
+
+
+def _alike(kind: str, p: list[str], q: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kernel kind of what it compares of strings, and where in that p and q are."""
+    kernel, of = ALIKE[kind]
+    x, y = [*map(of, p)], [*map(of, q)]
+    a, b = (sorted(set(v), key=lambda s: (len(s), s)) for v in (x, y))
+    n, m = (sum(len(s) <= LETTERS for s in v) for v in (a, b))
+    out = np.empty((len(a), len(b)))
+    if n and m:
+        out[:n, :m] = kernel(a[:n], b[:m])
+    for i in range(len(a)):
+        for j in range(m if i < n else 0, len(b)):
+            out[i, j] = similarity.KERNELS[kind](a[i], b[j])
+    at, to = (np.array([*map({s: k for k, s in enumerate(u)}.get, v)], np.int64) for u, v in ((a, x), (b, y)))
+    return _rounded(out), at, to
+
+
+def alike(columns: dict[str, str]) -> Callable:
+    """A score for pairs() of strings a and b: kernels of ALIKE by the columns' names. Different strings meet once."""
+
+    def score(x: dict, y: dict) -> dict:
+        (p, i), (q, j) = _different(x["a"]), _different(y["b"])
+        got = {c: _alike(kind, p, q) for c, kind in columns.items()}
+        return {c: m.take(at[i], 0).take(to[j], 1) for c, (m, at, to) in got.items()}
+
+    return score
+
+
 def _equals(p: list, q: list) -> np.ndarray:
     """Where values are equal; None is equal to nothing."""
     code: dict = {}
@@ -315,6 +425,6 @@ def valued(a: str, b: str, one: Callable, columns: dict[str, str]) -> Callable:
 
 
 @functools.lru_cache(KEPT)
-def alike(kinds: tuple[str, ...], a: str | None, b: str | None) -> tuple:
+def scored(kinds: tuple[str, ...], a: str | None, b: str | None) -> tuple:
     """These kernels of similarity, of two strings; null is empty."""
     return tuple(round(similarity.KERNELS[k](a or "", b or ""), D) for k in kinds)

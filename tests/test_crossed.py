@@ -1,5 +1,6 @@
 """All pairs of a nation: what the matrices give is what the column expressions give, and no join makes the pairs."""
 
+import random
 import sys
 
 import pyarrow as pa
@@ -113,6 +114,11 @@ def scores(monkeypatch, spark, name, left, right):
     return [[tuple(None if null is not None and null[i, j] else v[i, j] for v, null in both) for j in range(len(right))] for i in range(len(left))], calls[0]
 
 
+def plain(name, a, b):
+    """The rows of one pair of names by the kernels of similarity."""
+    return tuple(round(similarity.KERNELS[k](a or "", b or ""), 6) for k in {"sim_ratio": ("ratio", "tsort"), "sim_jaro_winkler": ("jw",)}[name])
+
+
 def calls_of_different(monkeypatch, spark, name):
     left, right = [f"customer {k:09}" for k in range(7, 90_000, 300)], [f"supplier {k:09}" for k in range(3, 60_000, 200)]
     got, calls = scores(monkeypatch, spark, name, left, right)
@@ -120,11 +126,26 @@ def calls_of_different(monkeypatch, spark, name):
     return left, right, got
 
 
+@pytest.mark.parametrize("name", ["sim_ratio"])
+def test_different_names_cost_no_call_a_pair(monkeypatch, spark, name):
+    left, right, got = calls_of_different(monkeypatch, spark, name)
+    assert all(got[i][j] == plain(name, left[i], right[j]) for i in range(0, 300, 7) for j in range(0, 300, 3))
+
+
 @pytest.mark.parametrize("name", ["col_numbers", "sim_digits_canonical"])
 def test_different_numbers_cost_no_call_a_pair(monkeypatch, spark, name):
     calls_of_different(monkeypatch, spark, name)
 
 
+@pytest.mark.parametrize("name", ["sim_ratio"])
+def test_names_of_any_length(monkeypatch, spark, name):
+    r = random.Random(3)
+    names = ["", None, "a", " ", "b a", "a b", *("".join(r.choices(r.choice(["ab ", "abcdef 012", "é漢 a1"]), k=r.choice([3, 15, 16, 17, 31, 32, 33, 63, 64, 65, 130]))) for _ in range(60))]
+    left, right = names[:40], names[30:] + names[:6]
+    got, _ = scores(monkeypatch, spark, name, left, right)
+    assert all(got[i][j] == plain(name, a, b) for i, a in enumerate(left) for j, b in enumerate(right))
+
+
 @pytest.mark.parametrize("name", ["col_numbers", "sim_digits_canonical"])
 def test_parts_of_lists_give_what_the_whole_gives(monkeypatch, spark, name):
     names = [n for n in NAMES if n is not None]
