@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -18,8 +17,6 @@ ROWS, PARTS, D = 512, 16, 6
 #: Strings of so many letters at most are compared as bits of a number, longer ones by a call a pair. Lists of lists meet in parts of so
 #: many pairs of values, or of single rows.
 LETTERS, CELLS = 64, 1 << 22
-#: Scores of so many pairs of values are remembered in a Python worker.
-KEPT = 1 << 19
 #: So many left strings at a time, so that their matrices stay in a core's cache.
 BLOCK = 128
 
@@ -213,8 +210,67 @@ def _ratios(p: list[str], q: list[str]) -> np.ndarray:
     return out
 
 
+def _winklers(p: list[str], q: list[str]) -> np.ndarray:
+    """similarity.jaro_winkler() of sorted strings p, those of a length together, and others q, for all q at once: a letter takes the
+    lowest bit that is free, has it and is in reach."""
+    (x, y, kinds), n, m = _letters(p, q), _lengths(p), _lengths(q)
+    masks = _masks(y, kinds, m)
+    return np.concatenate([_winkler(x[r : r + BLOCK], y, n[r : r + BLOCK], m, masks) for r in range(0, len(p), BLOCK)])
+
+
+def _winkler(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    kind = masks.dtype.type
+    reach = np.maximum(0, np.maximum(n[:, None], m[None, :]) // 2 - 1)
+    same, most = reach.min() == reach.max(), int(reach.max())
+    new = np.append(True, n[1:] != n[:-1])
+    used = np.zeros((int(new.sum()), len(m)), masks.dtype)
+    hits, rows = np.zeros_like(used), np.flatnonzero(new)
+    for k, letters, of, at in _starts(x, new):
+        if of is not None:
+            used, hits, rows = used.take(of, 0), hits.take(of, 0), np.flatnonzero(np.diff(at, prepend=-1))
+        window = np.array([(1 << min(8 * masks.itemsize, k + r + 1)) - (1 << max(0, k - r)) for r in range(most + 1)], masks.dtype)
+        free = masks.take(letters, 0)
+        free &= window[-1] if same else window[reach[rows]]
+        free &= ~used
+        low = np.negative(free)
+        low &= free
+        used |= low
+        np.not_equal(low, 0, out=low, casting="unsafe")
+        low <<= kind(k)
+        hits |= low
+    met, right = np.bitwise_count(used).astype(np.float64), np.zeros_like(used)
+    low, hit, known = np.empty_like(used), np.empty_like(used), masks.any(1)
+    for k in np.flatnonzero(known[x].any(0)):
+        # hit: all bits where the left's k-th letter has met one
+        np.left_shift(hits, kind(8 * masks.itemsize - 1 - int(k)), out=hit)
+        signed = hit.view(hit.dtype.str.replace("u", "i"))
+        signed >>= signed.dtype.type(8 * masks.itemsize - 1)
+        np.negative(used, out=low)
+        low &= used
+        low &= hit
+        used ^= low
+        low &= masks.take(x[:, k], 0)
+        right |= low
+    turned = met - np.bitwise_count(right)
+    turned //= 2
+    jaro = met / np.maximum(n, 1)[:, None]
+    jaro += met / np.maximum(m, 1)[None, :]
+    jaro += (met - turned) / np.maximum(met, 1)
+    jaro /= 3
+    like, begin = np.ones(jaro.shape, bool), np.zeros(jaro.shape, np.uint8)
+    for k in range(min(4, x.shape[1])):
+        like &= ~_differ(x[:, k], y[:, k])
+        if not like.any():
+            break
+        begin += like
+    got = jaro + begin * 0.1 * (1 - jaro) if begin.any() else jaro
+    got = np.where(jaro > 0.7, got, jaro)
+    got[(n == 0)[:, None] & (m == 0)[None, :]] = 1.0
+    return got
+
+
 #: Kernels of similarity as matrices, with what they compare of each string.
-ALIKE: dict[str, tuple[Callable, Callable]] = {"ratio": (_ratios, str), "tsort": (_ratios, lambda s: " ".join(sorted(s.split())))}
+ALIKE: dict[str, tuple[Callable, Callable]] = {"ratio": (_ratios, str), "tsort": (_ratios, lambda s: " ".join(sorted(s.split()))), "jw": (_winklers, str)}
 
 
 def _alike(kind: str, p: list[str], q: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -396,35 +452,3 @@ def _digits_of_lists(x: dict, y: dict) -> dict:
 
 #: similarity.canonical_digits() of digits() a_n and b_n.
 digits = listed(_digits_of_lists, lambda x, y: (_sizes(_bare(x["a_n"])[1]), _sizes(_bare(y["b_n"])[1])))
-
-
-def _frozen(value):
-    if isinstance(value, dict):
-        return tuple(_frozen(v) for v in value.values())
-    return tuple(map(_frozen, value)) if isinstance(value, list) else value
-
-
-def valued(a: str, b: str, one: Callable, columns: dict[str, str]) -> Callable:
-    """A score for pairs(): one(x, y) gives a tuple of columns, None for null, of each pair of different values of a and b. Lists and
-    structs are tuples."""
-
-    def different(values: pa.Array) -> tuple[list, np.ndarray]:
-        seen: dict = {}
-        at = np.array([seen.setdefault(_frozen(v), len(seen)) for v in values.to_pylist()], np.int64)
-        return list(seen), at
-
-    def score(x: dict, y: dict) -> dict:
-        (p, i), (q, j) = different(x[a]), different(y[b])
-        got = np.array([one(u, v) for u in p for v in q], dtype=object).reshape(len(p), len(q), len(columns))
-        null = np.equal(got, None)
-        got = np.where(null, 0, got)
-        at = np.ix_(i, j)
-        return {c: (got[:, :, k].astype(np.float64 if t == "double" else np.int64)[at], null[:, :, k][at]) for k, (c, t) in enumerate(columns.items())}
-
-    return score
-
-
-@functools.lru_cache(KEPT)
-def scored(kinds: tuple[str, ...], a: str | None, b: str | None) -> tuple:
-    """These kernels of similarity, of two strings; null is empty."""
-    return tuple(round(similarity.KERNELS[k](a or "", b or ""), D) for k in kinds)

@@ -126,7 +126,7 @@ def calls_of_different(monkeypatch, spark, name):
     return left, right, got
 
 
-@pytest.mark.parametrize("name", ["sim_ratio"])
+@pytest.mark.parametrize("name", ["sim_ratio", "sim_jaro_winkler"])
 def test_different_names_cost_no_call_a_pair(monkeypatch, spark, name):
     left, right, got = calls_of_different(monkeypatch, spark, name)
     assert all(got[i][j] == plain(name, left[i], right[j]) for i in range(0, 300, 7) for j in range(0, 300, 3))
@@ -137,7 +137,7 @@ def test_different_numbers_cost_no_call_a_pair(monkeypatch, spark, name):
     calls_of_different(monkeypatch, spark, name)
 
 
-@pytest.mark.parametrize("name", ["sim_ratio"])
+@pytest.mark.parametrize("name", ["sim_ratio", "sim_jaro_winkler"])
 def test_names_of_any_length(monkeypatch, spark, name):
     r = random.Random(3)
     names = ["", None, "a", " ", "b a", "a b", *("".join(r.choices(r.choice(["ab ", "abcdef 012", "é漢 a1"]), k=r.choice([3, 15, 16, 17, 31, 32, 33, 63, 64, 65, 130]))) for _ in range(60))]
